@@ -122,3 +122,29 @@ def shingle_hashes(words: np.ndarray, per_text: np.ndarray, size: int = 5) -> tu
 
 def take_columns(block: Block, names: list[str]) -> list[pa.Array]:
     return [block.batch.column(block.batch.schema.get_field_index(c)) for c in names]
+
+
+class KeyTable:
+    """64-bit keys -> values, as a cascade of hash tables; each takes the keys that collided in the one before."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        keys, values = np.asarray(keys, np.uint64), np.asarray(values, np.int32)
+        self.missing, self.levels = np.int32(missing), []
+        bits, level = max(10, (8 * len(keys) + 1).bit_length()), 0
+        while len(keys):
+            factor, shift = np.uint64(_BASE + 2 * level * 0x1234567), np.uint64(64 - bits)
+            slot = ((keys * factor) >> shift).astype(np.int64)
+            at, stored = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.full(1 << bits, missing, np.int32)
+            _, one = np.unique(slot, return_index=True)
+            at[slot[one]], stored[slot[one]] = keys[one], values[one]
+            rest = np.ones(len(keys), bool)
+            rest[one] = False
+            self.levels.append((factor, shift, at, stored))
+            keys, values, bits, level = keys[rest], values[rest], max(10, bits - 3), level + 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.shape, self.missing, np.int32)
+        for factor, shift, at, stored in self.levels:
+            slot = ((keys * factor) >> shift).astype(np.intp)
+            out = np.where(at[slot] == keys, stored[slot], out)
+        return out
