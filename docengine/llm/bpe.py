@@ -24,10 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.blocks import slice_hashes, text_blocks
+from docengine.llm.blocks import KeyTable, slice_hashes, text_blocks
 
 CACHE_SLICES = 400_000
 STRIPE = 128
@@ -135,32 +134,7 @@ def slice_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks.T.reshape(-1)[:n])
 
 
-class PairTable:
-    """(left id, right id) -> merged id, as a cascade of hash tables; each takes the keys that collided in the one before."""
-
-    NONE = np.int32(1 << 30)
-
-    def __init__(self, pairs: dict[int, int]):
-        keys, values = np.array(list(pairs), np.uint64), np.array(list(pairs.values()), np.int32)
-        self.levels, bits, k = [], 21, 0
-        while len(keys):
-            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1234567)
-            slot = ((keys * factor) >> np.uint64(64 - bits)).astype(np.int64)
-            at, stored = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.full(1 << bits, self.NONE, np.int32)
-            _, one = np.unique(slot, return_index=True)
-            at[slot[one]], stored[slot[one]] = keys[one], values[one]
-            rest = np.ones(len(keys), bool)
-            rest[one] = False
-            self.levels.append((factor, np.uint64(64 - bits), at, stored))
-            keys, values, bits, k = keys[rest], values[rest], max(10, bits - 3), k + 1
-
-    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        out = np.full(key.shape, self.NONE, np.int32)
-        for factor, shift, at, stored in self.levels:
-            slot = ((key * factor) >> shift).astype(np.intp)
-            out = np.where(at[slot] == key, stored[slot], out)
-        return out
+NONE = 1 << 30
 
 
 class Vocabulary:
@@ -176,7 +150,7 @@ class Vocabulary:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pairs = PairTable(pairs)
+        self.pairs = KeyTable(list(pairs), list(pairs.values()), NONE)
         size = max(self.ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in self.ranks.items():
@@ -187,6 +161,10 @@ class Vocabulary:
         self.cache: dict[bytes, int] = {}
         self.clear()
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, or NONE."""
+        return self.pairs.get((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+
     def clear(self) -> None:
         """Empty the cache of merged slices; its entries index `store`, from `begin` for `count` ids."""
         self.cache.clear()
@@ -221,9 +199,9 @@ class Vocabulary:
         ids = np.zeros((len(slices), width), np.int32)
         inside = np.arange(width) < sizes[:, None]
         ids[inside] = self.singles[raw]
-        none = self.pairs.NONE
+        none = np.int32(NONE)
         ranks = np.full((len(slices), width), none, np.int32)
-        ranks[:, :-1] = np.where(inside[:, 1:], self.pairs.get(ids[:, :-1], ids[:, 1:]), none)
+        ranks[:, :-1] = np.where(inside[:, 1:], self.pair_ranks(ids[:, :-1], ids[:, 1:]), none)
         done: list = [None] * len(slices)
         rows = np.arange(len(slices))
         column = np.arange(width - 1)
@@ -247,9 +225,9 @@ class Vocabulary:
             ranks[:, -1] = none
             sizes = sizes - 1
             left = at > 0
-            ranks[k[left], at[left] - 1] = self.pairs.get(ids[k[left], at[left] - 1], best[left])
+            ranks[k[left], at[left] - 1] = self.pair_ranks(ids[k[left], at[left] - 1], best[left])
             right = at < sizes - 1
-            ranks[k[right], at[right]] = self.pairs.get(best[right], ids[k[right], at[right] + 1])
+            ranks[k[right], at[right]] = self.pair_ranks(best[right], ids[k[right], at[right] + 1])
             ranks[k[~right], at[~right]] = none
         return done
 
@@ -257,13 +235,12 @@ class Vocabulary:
         """One long slice, with a heap over a linked list: n log n steps."""
         import heapq
 
-        none = int(self.pairs.NONE)
+        none = NONE
         ids = self.singles[np.frombuffer(piece, np.uint8)]
-        heap = [(int(r), i, int(a), int(b)) for i, (r, a, b) in enumerate(zip(self.pairs.get(ids[:-1], ids[1:]), ids[:-1], ids[1:])) if r != none]
+        heap = [(int(r), i, int(a), int(b)) for i, (r, a, b) in enumerate(zip(self.pair_ranks(ids[:-1], ids[1:]), ids[:-1], ids[1:])) if r != none]
         heapq.heapify(heap)
         ids, n = ids.tolist(), len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        look = lambda a, b: self.known_pair(a, b)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
             j = after[i]
@@ -273,9 +250,9 @@ class Vocabulary:
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if (r := look(rank, ids[after[j]])) is not None:
+                if (r := self.known_pair(rank, ids[after[j]])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[after[j]]))
-            if (p := before[i]) >= 0 and (r := look(ids[p], rank)) is not None:
+            if (p := before[i]) >= 0 and (r := self.known_pair(ids[p], rank)) is not None:
                 heapq.heappush(heap, (r, p, ids[p], rank))
         return np.array([x for x in ids if x >= 0], np.int32)
 
@@ -352,59 +329,67 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def encode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
-    """docs with `ids` (array<int>) and `slice_ends` (array<int>: where each pre-token ends, in bytes of the text)."""
-    kept = [c for c in docs.columns if c not in ("ids", "slice_ends")]
-    fields = [docs.schema[c] for c in kept]
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("slice_ends", T.ArrayType(T.IntegerType(), False))]
+Batches = Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        for block in text_blocks(batches, text):
-            ids, counts, ends, slices = encode_block(vocab, block.data, block.starts)
-            yield pa.RecordBatch.from_arrays([*block.batch.columns, _lists(ids, counts), _lists(ends, slices)], [*kept, "ids", "slice_ends"])
 
-    return docs.select(kept).mapInArrow(run, T.StructType(fields + added))
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with that column last; a column that has the name already goes."""
+    kept = [i for i, c in enumerate(batch.schema.names) if c != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.names[i] for i in kept), name])
 
 
-def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
-    """The columns of `encoded` with `decoded` (binary): the bytes that `ids` stand for. Null ids: empty."""
-    kept = [c for c in encoded.columns if c != "decoded"]
+def id_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids end to end, and how many each row has; none for nulls."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, counts = id_lists(batch.column(batch.schema.get_field_index("ids")))
-            raw, sizes = decode_block(vocab, ids, counts)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, binary], [*kept, "decoded"])
 
-    return encoded.select(kept).mapInArrow(run, T.StructType([encoded.schema[c] for c in kept] + [T.StructField("decoded", T.BinaryType())]))
+def encoding(batches: Batches, vocab_path: str, text: str) -> Batches:
+    vocab = vocabulary(vocab_path)
+    for block in text_blocks(batches, text):
+        ids, counts, ends, slices = encode_block(vocab, block.data, block.starts)
+        yield with_column(with_column(block.batch, "ids", _lists(ids, counts)), "slice_ends", _lists(ends, slices))
 
 
-def id_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
+def decoding(batches: Batches, vocab_path: str) -> Batches:
+    vocab = vocabulary(vocab_path)
+    for batch in batches:
+        if batch.num_rows:
+            raw, sizes = decode_block(vocab, *id_lists(batch.column("ids")))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield with_column(batch, "decoded", pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())]))
+
+
+def digesting(batches: Batches, keep: list[str]) -> Batches:
+    for batch in batches:
+        ids, counts = id_lists(batch.column("ids"))
+        raw, ends = ids.astype("<u4"), np.cumsum(counts)
+        of_ids = [hashlib.sha256(raw[b - n : b]).hexdigest() for b, n in zip(ends.tolist(), counts.tolist())]
+        of_bytes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [*keep, *DIGESTS])
 
 
-def id_digests(encoded: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, n_tokens and ids_sha256: of the ids as little-endian unsigned 32-bit integers."""
-    schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
+def _mapped(df: DataFrame, run, added: dict[str, T.DataType]) -> DataFrame:
+    fields = [f for f in df.schema if f.name not in added]
+    return df.mapInArrow(run, T.StructType(fields + [T.StructField(n, t) for n, t in added.items()]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = id_lists(batch.column(batch.schema.get_field_index("ids")))
-            raw, ends = ids.astype("<u4"), np.cumsum(counts)
-            hexes = [hashlib.sha256(raw[b - n : b]).hexdigest() for b, n in zip(ends.tolist(), counts.tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(counts), pa.array(hexes, pa.string())], schema.names)
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+IDS = T.ArrayType(T.IntegerType())
+DIGESTS = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
+def encode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
+    """docs with `ids` (array<int>) and `slice_ends` (array<int>: where each pre-token ends, in bytes of the text)."""
+    return _mapped(docs, lambda batches: encoding(batches, vocab_path, text), {"ids": IDS, "slice_ends": IDS})
+
+
+def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
+    """The columns of `encoded` with `decoded` (binary): the bytes that `ids` stand for. Null ids: empty."""
+    return _mapped(encoded, lambda batches: decoding(batches, vocab_path), {"decoded": T.BinaryType()})
 
 
 def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
-    decoded = decode(encode(docs.select("doc_id", "text"), vocab_path).select("doc_id", "ids"), vocab_path)
-    return id_digests(decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")), ["doc_id", "decoded_sha256"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encode, decode and hash in one pass over the
+    batches, so that a task needs one Python worker."""
+    run = lambda batches: digesting(decoding(encoding(batches, vocab_path, "text"), vocab_path), ["doc_id"])
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"]] + [T.StructField(n, t) for n, t in DIGESTS.items()]))
