@@ -6,8 +6,8 @@ ORDER symbols within SPAN, each weighing DECAY for every symbol that it skips, s
 dots or spaces still shares most subsequences with the plain one. Landmarks are pieces of labelled texts; the Nyström map
 of the kernel to them feeds a linear machine with squared hinge loss. As the kernel is a finite sum over subsequences, the
 trained machine folds into one weight for each subsequence (2^20 of them), and a text is scored in one pass: the weights
-of all its subsequences are summed over every stretch of PIECE symbols, and the text's margin is that of its worst
-stretch. A label belongs to a text, not to a stretch, so training alternates: pick the worst stretch of each text, then
+of all its subsequences are summed over every stretch of PIECE symbols and over every word, and the margins of a text are
+those of its worst stretch and of its WORDS worst words. A label belongs to a text, not to a stretch, so training alternates: pick the worst stretch of each text, then
 train on them (multiple-instance learning); logistic regression on the margins gives the probability.
 
 Learning is bounded by `bound` labelled rows, outside the held-out fold; scoring reads every text whole. Null and empty
@@ -35,9 +35,10 @@ from docengine.llm.staging import staged
 
 BOUND = 20_000
 ORDER, SPAN, DECAY = 4, 7, 0.6
-PIECE = 24
+PIECE = 16
 LANDMARKS = 320
 ROUNDS = 3
+WORDS = 3
 SIZE = 1 << 20  # 32 symbols to the power ORDER
 BLOCK = 1_000_000
 
@@ -45,6 +46,7 @@ BLOCK = 1_000_000
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 DROPPED, BLANK = 255, 0
 GAPS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
+CLOSE = [g for g in GAPS if g[-1] <= ORDER]
 WEIGHTS = [DECAY ** (g[-1] - ORDER + 1) for g in GAPS]
 
 
@@ -110,16 +112,38 @@ def place_weights(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def stretch_sums(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The weight of all subsequences within the stretch of PIECE symbols from each place on."""
-    sums = np.concatenate([[0.0], np.cumsum(place_weights(symbols, weights), dtype=np.float64)])
+    return _stretches(place_weights(symbols, weights), len(symbols))
+
+
+def _stretches(places: np.ndarray, n: int) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(places, dtype=np.float64)])
     reach = PIECE - SPAN + 1
-    out = np.zeros(len(symbols))
+    out = np.zeros(n)
     out[: len(sums) - reach] = sums[reach:] - sums[:-reach]
     return out
 
 
-def worst(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each text's margin: that of its worst stretch (0 for a text without symbols)."""
-    return np.maximum.reduceat(stretch_sums(symbols, weights), first[:-1]) if len(first) > 1 else np.zeros(0)
+def margins(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row for each text: the margin of its worst stretch, and of its worst WORDS words (0 where there are fewer)."""
+    n = len(first) - 1
+    out = np.zeros((n, 1 + WORDS))
+    if not n:
+        return out
+    places = place_weights(symbols, weights).astype(np.float64)
+    out[:, 0] = np.maximum.reduceat(_stretches(places, len(symbols)), first[:-1])
+    inside = np.concatenate([symbols != BLANK, [False]])
+    begin = np.flatnonzero(inside[:-1] & ~np.concatenate([[False], inside[:-2]])) if len(symbols) > 1 else np.zeros(0, np.int64)
+    if not len(begin):
+        return out
+    padded = np.concatenate([places, np.zeros(SPAN)])
+    word = np.add.reduceat(padded, begin)
+    text = np.searchsorted(first, begin, "right") - 1
+    order = np.lexsort((-word, text))
+    place = np.arange(len(order)) - np.searchsorted(text, text[order])
+    for k in range(WORDS):
+        at = order[place == k]
+        out[text[at], 1 + k] = np.maximum(word[at], 0)
+    return out
 
 
 def features(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +152,17 @@ def features(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids, 1), np.repeat(np.array(WEIGHTS, np.float32), [i.shape[1] for i in ids])
 
 
-def kernel(pieces: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """k(piece, landmark) / sqrt(k(landmark, landmark)); subsequences that are all blanks count nothing."""
+def kernel(pieces: np.ndarray, landmarks: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """k(piece, landmark) / sqrt(k(landmark, landmark)), each subsequence weighing rarity[id] squared."""
     ids, weight = features(landmarks)
     known, inverse = np.unique(ids, return_inverse=True)
     inverse = inverse.reshape(ids.shape)
     table = np.zeros((len(known) + 1, len(landmarks)), np.float32)
     for j in range(len(landmarks)):
         np.add.at(table[:, j], inverse[j], weight)
-    table[:-1][known == 0] = 0
+    table[:-1] *= rarity[known][:, None]
     table /= np.maximum(np.sqrt((table**2).sum(0)), 1e-9)
+    table[:-1] *= rarity[known][:, None]
     out = np.zeros((len(pieces), len(landmarks)), np.float32)
     for k in range(0, len(pieces), 100):
         ids, weight = features(pieces[k : k + 100])
@@ -151,30 +176,32 @@ def kernel(pieces: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_machine(pieces: np.ndarray, y: np.ndarray, landmarks: np.ndarray, cost: float = 8.0) -> np.ndarray:
+def train_machine(pieces: np.ndarray, y: np.ndarray, landmarks: np.ndarray, rarity: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights of all subsequences: a linear machine on the Nyström map, folded back."""
-    gram = kernel(landmarks, landmarks).astype(np.float64)
+    gram = kernel(landmarks, landmarks, rarity).astype(np.float64)
     ids, weight = features(landmarks)
     norms = np.empty(len(landmarks))
     phi = []
     for j in range(len(landmarks)):
         known, inverse = np.unique(ids[j], return_inverse=True)
-        value = np.bincount(inverse, weight) * (known != 0)
+        value = np.bincount(inverse, weight) * rarity[known]
         norms[j] = max(np.sqrt((value**2).sum()), 1e-9)
-        phi.append((known, value / norms[j]))
+        phi.append((known, value * rarity[known] / norms[j]))
     values, vectors = np.linalg.eigh((gram / norms[:, None] + (gram / norms[:, None]).T) / 2)
     kept = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    x = kernel(pieces, landmarks).astype(np.float64) @ root
+    x = kernel(pieces, landmarks, rarity).astype(np.float64) @ root
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     each = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) / 2
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for step in range(1, 401):  # squared hinge loss, Adam
-        slack = np.maximum(0, 1 - y * (x @ w))
-        g = w / cost / len(y) - 2 * x.T @ (each * y * slack)
-        g[-1] = -2 * (each * y * slack).sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    damp = np.append(np.full(x.shape[1] - 1, ridge), 1e-9)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):  # Newton's steps on the squared hinge loss
+        active = y * (x @ w) < 1
+        held = x[active] * each[active][:, None]
+        new = np.linalg.solve(held.T @ x[active] + np.diag(damp), held.T @ y[active])
+        if np.allclose(new, w, atol=1e-8):
+            break
+        w = new
     beta = root @ w[:-1]
     out = np.zeros(SIZE, np.float32)
     for b, (known, value) in zip(beta, phi):
@@ -186,36 +213,36 @@ def train_machine(pieces: np.ndarray, y: np.ndarray, landmarks: np.ndarray, cost
 @dataclass
 class Model:
     weights: np.ndarray  # of SIZE subsequences: 4 MB
-    slope: float
+    slopes: np.ndarray
     offset: float
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.offset, -500, 500)))
 
 
-def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with Platt's smoothed targets."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset by Newton's method, with Platt's smoothed targets."""
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    scale = margins.std() + 1e-9
-    x = np.stack([margins / scale, np.ones(len(y))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
+    scale = x.std(0) + 1e-9
+    x = np.concatenate([x / scale, np.ones((len(y), 1))], 1)
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        w -= np.clip(np.linalg.solve(h, x.T @ (p - target)), -5, 5)
-    return float(w[0] / scale), float(w[1])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w), -3, 3)
+    return w[:-1] / scale, float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Model:
     sample = staged(labelled_sample(docs, labels, label, bound).repartition(12))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIZE), np.int32)  # texts of each label that have the subsequence, nothing skipped
+        total = np.zeros((2, SIZE), np.int32)  # texts of each label that have the subsequence, little skipped
         for block in text_blocks(batches, limit=BLOCK):
             symbols, first = stream(block.data, block.starts)
             y = block.batch.column(2).to_numpy(zero_copy_only=False)
             for a, b, kind in zip(first[:-1], first[1:], y):
-                total[kind, np.unique(subsequence_ids(symbols[a:b], GAPS[0]))] += 1
+                total[kind, np.unique(np.concatenate([subsequence_ids(symbols[a:b], g) for g in CLOSE]))] += 1
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["id", "n0", "n1"])
 
@@ -223,12 +250,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
     totals = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         share = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-3), 1 - 1e-3)
-        return Model(np.zeros(SIZE, np.float32), 0.0, float(np.log(share / (1 - share))))
-    weights = np.zeros(SIZE, np.float32)
-    found = np.array(counts.where("n1 >= 2").collect(), np.int64).reshape(-1, 3)  # SIZE rows at most
+        return Model(np.zeros(SIZE, np.float32), np.zeros(1 + WORDS), float(np.log(share / (1 - share))))
+    found = np.array(counts.collect(), np.int64).reshape(-1, 3)  # SIZE rows at most
+    n = found[:, 1:].sum(1)
+    rarity, weights = np.ones(SIZE, np.float32), np.zeros(SIZE, np.float32)
+    rarity[found[:, 0]] = 1 - np.log1p(n) / np.log1p(totals[0] + totals[1])
     odds = np.log((found[:, 2] + 1) / (totals[1] + 2)) - np.log((found[:, 1] + 1) / (totals[0] + 2)) - 0.7
-    weights[found[:, 0]] = np.maximum(odds, 0)
-    weights[0] = 0
+    weights[found[:, 0]] = np.maximum(odds, 0) * (found[:, 2] > 1)
+    rarity[0] = weights[0] = 0
 
     def pick(weights: np.ndarray) -> list:
         """The worst stretch of each text, and one other of each text of label 0."""
@@ -260,9 +289,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         chosen = np.concatenate([bad, good])
         spread = lambda x, n: x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)]
         landmarks = np.unique(pieces[np.concatenate([spread(bad, LANDMARKS * 3 // 4), spread(good, LANDMARKS // 4)])], axis=0)
-        weights = train_machine(pieces[chosen], np.where(kind[chosen] == 1, 1.0, -1.0), landmarks)
-    rows = [r for r in pick(weights) if r[1] >= 0]
-    return Model(weights, *logistic(np.array([r[3] for r in rows]), np.array([r[1] for r in rows])))
+        weights = train_machine(pieces[chosen], np.where(kind[chosen] == 1, 1.0, -1.0), landmarks, rarity)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, limit=BLOCK):
+            rows = margins(*stream(block.data, block.starts), weights)
+            yield pa.RecordBatch.from_arrays([block.batch.column(0), block.batch.column(2), pa.array(rows.tolist())], ["doc_id", "label", "x"])
+
+    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(measure, "doc_id long, label int, x array<double>").collect())
+    return Model(weights, *logistic(np.array([r[2] for r in rows]), np.array([r[1] for r in rows])))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -273,7 +308,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for block in text_blocks(batches, limit=BLOCK):
-            p = m.probability(worst(*stream(block.data, block.starts), m.weights))
+            p = m.probability(margins(*stream(block.data, block.starts), m.weights))
             yield pa.RecordBatch.from_arrays([*block.batch.columns[:-1], pa.array(p)], schema.names)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
