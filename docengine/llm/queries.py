@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm import bpe, pii, quality, toxicity
+from docengine.llm import bpe, pii, quality, rules, toxicity
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op10_byte_bpe": op10_byte_bpe,
@@ -39,5 +44,6 @@ QUERIES = {
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": rules.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
 }
