@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm import bpe, pii, quality, rules, toxicity
+from docengine.llm import bpe, licenses, pii, quality, rules, toxicity
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
@@ -44,6 +49,7 @@ QUERIES = {
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.ORACLE_SQL,
     "op4_quality_rules": rules.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
 }
