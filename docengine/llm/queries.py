@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm import bpe, langid, licenses, pii, quality, rules, toxicity
+from docengine.llm import bpe, decontamination, langid, licenses, pii, quality, rules, toxicity
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
