@@ -73,15 +73,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+class Slices:
+    """64-bit hashes of slices data[begin:end], many at once: a polynomial whose prefix sums give any slice."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def slice_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[begin:end] for many slices at once: a polynomial whose prefix sums give any slice."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    n = 1 << max(16, int(len(data) + 1).bit_length())
-    up, down = _powers(n)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Slices(data).hashes(begin, end) if len(begin) else np.zeros(0, np.uint64)
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

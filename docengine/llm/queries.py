@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm import bpe, decontamination, langid, licenses, pii, quality, rules, toxicity
+from docengine.llm import bpe, decontamination, langid, licenses, lm, pii, quality, rules, toxicity
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
