@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm import bpe, decontamination, langid, licenses, lm, pii, quality, rules, toxicity
+from docengine.llm import bpe, decontamination, langid, licenses, lm, neardup, pii, quality, rules, toxicity
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -47,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -68,4 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.ORACLE_SQL,
     "op4_quality_rules": rules.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
+    "op9_near_duplicates": neardup.ORACLE_SQL,
 }
