@@ -393,3 +393,17 @@ def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
     batches, so that a task needs one Python worker."""
     run = lambda batches: digesting(decoding(encoding(batches, vocab_path, "text"), vocab_path), ["doc_id"])
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"]] + [T.StructField(n, t) for n, t in DIGESTS.items()]))
+
+
+def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """docs with n_tokens and ids, and `text` as decoded from the ids; columns with these names are replaced."""
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+
+    def run(batches: Batches) -> Batches:
+        for batch in decoding(encoding(batches, vocab_path, "text"), vocab_path):
+            texts = pa.array([x.decode("utf-8", "replace") for x in batch.column("decoded").to_pylist()], pa.string())
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts, ids.value_lengths().cast(pa.int64()), ids], [*others, "text", "n_tokens", "ids"])
+
+    added = [T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", IDS)]
+    return docs.select(*others, "text").mapInArrow(run, T.StructType([docs.schema[c] for c in others] + added))

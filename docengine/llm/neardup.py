@@ -143,6 +143,22 @@ def join_sets(ids: list, sides: np.ndarray, sets: list[np.ndarray], percent: int
     return links
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: any id of `ids` (doc_id) passes, most others don't. Its size is bounded by BITS, whatever
+    the number of ids; a fuller one passes more, and what passes still meets an exact join."""
+    bits = min(BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v")).collect()
+    out = np.zeros(bits // 32, np.uint32)
+    out[[r[0] for r in words]] = [r[1] for r in words]
+    return out
+
+
+def passes(bitmap: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    place = hashes.to_numpy(zero_copy_only=False) % np.int64(32 * len(bitmap))
+    return ((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)
+
+
 def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component of every row of docs; links: 100 * intersection >= percent * union."""
     id_type = docs.schema["doc_id"].dataType
@@ -157,25 +173,16 @@ def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> Dat
     sized = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
     pieces = sized.groupBy("component").agg(F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))
     members = staged(sized.join(pieces, "component").select(F.col("node").alias("doc_id"), "component", "pieces"))
-    # Only rows whose id is clustered need their sets again; a filter of fixed size tells most others apart where they are.
-    n_members = members.count()
-    bits = min(BITS, 1 << max(16, (16 * n_members).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = members.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v")).collect()  # bits / 32 at most
-    filled = np.zeros(bits // 32, np.uint32)
-    filled[[r[0] for r in words]] = [r[1] for r in words]
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    # Only rows whose id is clustered need their sets again.
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(members.select("doc_id")))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("runs", T.BinaryType())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = shared.value
         for batch in batches:
-            p = batch.column(1).to_numpy(zero_copy_only=False)
-            hit = (present[p >> 5] >> (p & 31).astype(np.uint32)) & 1
-            for block in text_blocks([batch.filter(pa.array(hit.astype(bool)))], text):
+            for block in text_blocks([batch.filter(pa.array(passes(shared.value, batch.column(1))))], text):
                 yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array([s.tobytes() for s in sets_of(block)], pa.binary())], schema.names)
 
-    sets = docs.where("doc_id is not null").select("doc_id", place.alias("p"), text).mapInArrow(gather, schema)
+    sets = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), text).mapInArrow(gather, schema)
     sets = sets.join(members, "doc_id").where("length(runs) > 0").withColumn("piece", F.pmod(F.hash("doc_id", F.lit("piece")), F.col("pieces")))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
     paired = sets.select("component", "doc_id", "runs", "piece", other).select("component", "doc_id", "runs", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
@@ -204,8 +211,21 @@ def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> Data
     """The rows of docs, as they are, of one document of each component: the one with the smallest id. Further rows with
     that id stay as well."""
     found = components_of(docs.select("doc_id", text), percent, text)
-    dropped = found.where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = staged(found.where("doc_id <> component").select("doc_id").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(dropped))
+
+    def rows(hit: bool) -> DataFrame:
+        """The rows that the bitmap of dropped ids passes, or all others; only the former need a join, with their texts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                passed = passes(shared.value, batch.column(batch.num_columns - 1))
+                kept = batch.filter(pa.array(passed == hit))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names[:-1])
+
+        return docs.select("*", F.xxhash64("doc_id")).mapInArrow(run, docs.schema)
+
+    return rows(False).unionAll(rows(True).join(dropped, "doc_id", "left_anti").select(docs.columns))
 
 
 ORACLE_SQL = """

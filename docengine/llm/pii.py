@@ -78,13 +78,13 @@ def running(lengths: Column, sums: Column, upto: Column) -> Column:
     return total(F.slice(sums, F.lit(1), blocks)) + total(F.slice(lengths, blocks * BLOCK + 1, upto - blocks * BLOCK))
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `pii`: array of (kind, start, end, score, base) in code points, end exclusive, by kind as listed and start.
+def spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
+    """docs with `into`: array of (kind, start, end, score, base) in code points, end exclusive, by kind as listed and start.
 
     `base` marks spans that need no words nearby; the others are cards of 13 to 15 digits, and IBANs by their checksum.
-    A column named `pii` is replaced.
+    A column that has that name already is replaced.
     """
-    kept = [c for c in docs.columns if c != "pii"]
+    kept = [c for c in docs.columns if c != into]
     own = "__pii_text"
     df = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(own))
     df = df.withColumn("__pii_some", F.col(own).rlike("@|[0-9]"))
@@ -116,7 +116,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.filter(F.transform(F.transform(numbered, span), scored), lambda x: x["base"] | (x["score"] >= 0.5))
 
     df = df.withColumns({f"__f_{k}": F.when(F.size(f"__m_{k}") > 0, found(k)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean>>")) for k in KINDS})
-    return df.select(*kept, F.concat(*(F.col(f"__f_{k}") for k in KINDS)).alias("pii"))
+    return df.select(*kept, F.concat(*(F.col(f"__f_{k}") for k in KINDS)).alias(into))
 
 
 def listed(array: Column) -> Column:
@@ -135,7 +135,7 @@ def report(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span's characters replaced by its kind in angle brackets; overlapping spans become one, with the
     first one's kind. Other columns stay as they are; null texts stay null."""
-    df = spans(docs, text).withColumn("__sorted", F.sort_array(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+    df = spans(docs, text, "__pii_spans").withColumn("__sorted", F.sort_array(F.transform("__pii_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     # A fold over the spans in order: the text so far, in pieces, and how far it has been read.
     start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("long").alias("at"))
 

@@ -318,3 +318,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     """doc_id, held_out, score, predicted of every document; learned outside the fold crc32(doc_id) mod 5 = 0."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, label, bound))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, text, BLOCK):
+            p = shared.value.probability(margins(*stream(block.data, block.starts), shared.value.weights))
+            yield block.batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
