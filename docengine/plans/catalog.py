@@ -1,4 +1,4 @@
-"""Registered queries and their SQL oracles."""
+"""All registered queries: importing the modules registers theirs."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docengine.plans import catalog_checks, catalog_retrieval, catalog_text  # noqa: F401
+from docengine.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
