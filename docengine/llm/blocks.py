@@ -7,6 +7,7 @@ is longer than the bound is a block of its own. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 #: Bytes 0x09-0x0D and 0x20, the white space of the operators' contracts.
 SPACE = np.zeros(256, bool)
@@ -53,6 +54,19 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
             yield Block(batch.slice(lo, hi - lo), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             lo = hi
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, next to others."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_libc(), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -135,7 +149,7 @@ class KeyTable:
     def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
         keys, values = np.asarray(keys, np.uint64), np.asarray(values, np.int32)
         self.missing, self.levels = np.int32(missing), []
-        bits, level = max(10, (8 * len(keys) + 1).bit_length()), 0
+        bits, level = max(10, (4 * len(keys) + 1).bit_length()), 0
         while len(keys):
             factor, shift = np.uint64(_BASE + 2 * level * 0x1234567), np.uint64(64 - bits)
             slot = ((keys * factor) >> shift).astype(np.int64)

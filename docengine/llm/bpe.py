@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from docengine.llm.blocks import KeyTable, slice_hashes, text_blocks
 
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 STRIPE = 128
 
 # The letters that follow an apostrophe in the pattern's contractions, and Unicode's White_Space.
@@ -401,7 +401,7 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for batch in decoding(encoding(batches, vocab_path, "text"), vocab_path):
-            texts = pa.array([x.decode("utf-8", "replace") for x in batch.column("decoded").to_pylist()], pa.string())
+            texts = batch.column("decoded").cast(pa.string())  # whole texts are UTF-8 again
             ids = batch.column("ids")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts, ids.value_lengths().cast(pa.int64()), ids], [*others, "text", "n_tokens", "ids"])
 

@@ -8,10 +8,12 @@ signature is the minimum of a set's slices. BANDS groups of coordinates are hash
 threshold miss each other in all bands with a probability below 1e-6.
 
 Classes in one bucket are tied to its smallest one. What is tied together, over any bands, forms a cluster, and every
-link lies within a cluster. Only then are the sets of clustered classes computed again and gathered, cut into pieces of at
-most PIECE runs; each pair of pieces of a cluster is joined exactly by a prefix-filtered set-similarity join over full
-sets, which returns a spanning forest of the links that it finds. So no pairs of a group are emitted, no group need fit
-into one task, and no link between different texts is lost. Components of the links follow.
+link lies within a cluster. Only then are the sets of clustered classes computed again. First each class is compared with
+one class that it is tied to, a star of any size being dealt out over many tasks; this joins a group of close copies in
+linear time, and a cluster that it joins whole is done. The sets of other clusters are cut into pieces of about PIECE runs
+and MEMBERS classes; each pair of pieces is joined exactly by a prefix-filtered set-similarity join over full sets, which
+passes over what is connected already and returns a spanning forest of the links that it finds. So no pairs of a group are
+emitted, no group need fit into one task, and no link between different texts is lost. Components of the links follow.
 
 Null and empty texts, and texts without words, have empty sets, which are linked with nothing. A null id can't be linked:
 its component is null and it is kept. Rows with one id are one node, whatever their texts. Ties: the smallest id stands
@@ -38,6 +40,7 @@ SHINGLE = 5
 BANDS = 48
 PLACES = 1 << 20
 PIECE = 400_000
+MEMBERS = 256
 BITS = 1 << 28  # of the filter of clustered ids, at most: 32 MB
 
 
@@ -97,8 +100,9 @@ def sketches(docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def join_sets(ids: list, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
+def join_sets(ids: list, sides: np.ndarray, sets: list[np.ndarray], percent: int, labels: list) -> list[tuple]:
     """A spanning forest of all links between sets of different sides (or all, if there is one side), as pairs of ids.
+    Sets with one label count as connected.
 
     Runs are ordered by rarity within the group. Two linked sets share a run of their prefixes (the rarest runs, one more
     than the larger may lack), and their sizes differ little; sets that are connected already aren't compared again.
@@ -111,7 +115,8 @@ def join_sets(ids: list, sides: np.ndarray, sets: list[np.ndarray], percent: int
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     parts = [np.sort(ranks[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     common = counts[np.argsort(rank)] > 1
-    root = list(range(len(ids)))
+    heads: dict = {}
+    root = [heads.setdefault(label, i) for i, label in enumerate(labels)]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -167,12 +172,9 @@ def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> Dat
     classes = staged(linkable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    ties = banded.join(buckets, ["band", "key"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    ties = staged(banded.join(buckets, ["band", "key"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
     clusters = components(ties)
-    # How many pieces each cluster is cut into.
-    sized = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
-    pieces = sized.groupBy("component").agg(F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))
-    members = staged(sized.join(pieces, "component").select(F.col("node").alias("doc_id"), "component", "pieces"))
+    members = staged(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
     # Only rows whose id is clustered need their sets again.
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(members.select("doc_id")))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("runs", T.BinaryType())])
@@ -183,19 +185,33 @@ def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array([s.tobytes() for s in sets_of(block)], pa.binary())], schema.names)
 
     sets = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), text).mapInArrow(gather, schema)
-    sets = sets.join(members, "doc_id").where("length(runs) > 0").withColumn("piece", F.pmod(F.hash("doc_id", F.lit("piece")), F.col("pieces")))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-    paired = sets.select("component", "doc_id", "runs", "piece", other).select("component", "doc_id", "runs", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
-    link_schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    sets = staged(sets.join(members, "doc_id").where("length(runs) > 0"))
 
     def verify(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_pylist()
         found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("runs").combine_chunks()] if len(ids) > 1 else []
-        links = join_sets(ids, group.column("piece").to_numpy(), found, percent) if found else []
+        links = join_sets(ids, group.column("side").to_numpy(), found, percent, group.column("label").to_pylist()) if found else []
         kind = group.schema.field("doc_id").type
         return pa.table({"a": pa.array([x[0] for x in links], kind), "b": pa.array([x[1] for x in links], kind)})
 
-    links = paired.groupBy("component", "low", "high").applyInArrow(verify, link_schema)
+    link_schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    # A join's partitioning by one column would keep all lots or pieces in one task; hence the repartitioning by all of them.
+    # Stars: side 1 has the classes tied to a pivot, dealt out in lots; side 0 has the pivot in each lot.
+    stars = staged(ties.groupBy("a").agg(F.min("b").alias("pivot")))
+    lots = stars.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lots"))
+    rays = stars.join(lots, "pivot").select(F.col("a").alias("doc_id"), "pivot", F.pmod(F.hash("a"), F.col("lots")).alias("lot"))
+    rays = sets.join(rays, "doc_id").select("pivot", "lot", "doc_id", "runs", F.lit(1).alias("side"), F.col("doc_id").alias("label"))
+    pivots = sets.join(lots, F.col("doc_id") == F.col("pivot")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", "runs", F.lit(0).alias("side"), F.col("doc_id").alias("label"))
+    near = staged(rays.unionAll(pivots).repartition("pivot", "lot").groupBy("pivot", "lot").applyInArrow(verify, link_schema))
+    joined = components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    labelled = sets.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    # Clusters that the stars have not joined whole, and how many pieces each is cut into.
+    size = F.greatest(F.ceil(F.sum(F.length("runs")) / (8 * PIECE)), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("pieces")
+    left = labelled.groupBy("cluster").agg(size, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster", "pieces")
+    cut = labelled.join(left, "cluster").withColumn("side", F.pmod(F.hash("doc_id", F.lit("piece")), F.col("pieces")))
+    paired = cut.select("cluster", "doc_id", "runs", "side", "label", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    paired = paired.withColumns({"piece": F.least("side", "other"), "with": F.greatest("side", "other")})
+    links = near.unionAll(paired.repartition("cluster", "piece", "with").groupBy("cluster", "piece", "with").applyInArrow(verify, link_schema))
     linked = components(links)
     labels = classes.select("set_id", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
