@@ -63,7 +63,7 @@ class Items:
         self.totals = np.add.reduceat(self.weights, self.first[:-1]) if len(self.ids) else np.zeros(0)
         index: dict = {}
         flips = [0, *(1 << b for b in range(8))]
-        for i, row in enumerate(self.prints.view(np.uint8).reshape(len(self.ids), -1).tolist()):
+        for i, row in enumerate(self.prints.view(np.uint8).reshape(len(self.ids), BITS // 8).tolist()):
             for b, value in enumerate(row):
                 for flip in flips:
                     index.setdefault((int(self.sizes[i]), b, value ^ flip), []).append(i)
@@ -73,7 +73,7 @@ class Items:
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) within RADIUS, for the fingerprints of windows of `size` words."""
         pairs: set = set()
-        for w, row in enumerate(prints.view(np.uint8).reshape(len(prints), -1).tolist()):
+        for w, row in enumerate(prints.view(np.uint8).reshape(len(prints), BITS // 8).tolist()):
             for b, value in enumerate(row):
                 pairs.update((w, i) for i in self.index.get((size, b, value), ()))
         if not pairs:

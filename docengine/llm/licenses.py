@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docengine.llm.staging import staged
 
 WINDOW = 64
-CONTAINMENT = 0.8
+CONTAINMENT = 0.85
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,10 +43,9 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "Licensed under CC BY-NC"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without prior written permission"),

@@ -39,6 +39,8 @@ PIECE = 16
 LANDMARKS = 320
 ROUNDS = 3
 WORDS = 3
+STRETCHES, NEARLY = 4, 0.5
+UNIT = 1 << 20
 SIZE = 1 << 20  # 32 symbols to the power ORDER
 BLOCK = 1_000_000
 
@@ -112,13 +114,18 @@ def place_weights(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def stretch_sums(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The weight of all subsequences within the stretch of PIECE symbols from each place on."""
-    return _stretches(place_weights(symbols, weights), len(symbols))
+    return _stretches(whole_weights(symbols, weights), len(symbols)) / UNIT
+
+
+def whole_weights(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """place_weights in whole units, whose running sums are exact: a text's margins don't depend on the texts before it."""
+    return np.rint(place_weights(symbols, weights).astype(np.float64) * UNIT).astype(np.int64)
 
 
 def _stretches(places: np.ndarray, n: int) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(places, dtype=np.float64)])
+    sums = np.concatenate([[0], np.cumsum(places)])
     reach = PIECE - SPAN + 1
-    out = np.zeros(n)
+    out = np.zeros(n, np.int64)
     out[: len(sums) - reach] = sums[reach:] - sums[:-reach]
     return out
 
@@ -129,14 +136,13 @@ def margins(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.n
     out = np.zeros((n, 1 + WORDS))
     if not n:
         return out
-    places = place_weights(symbols, weights).astype(np.float64)
-    out[:, 0] = np.maximum.reduceat(_stretches(places, len(symbols)), first[:-1])
+    places = whole_weights(symbols, weights)
+    out[:, 0] = np.maximum.reduceat(_stretches(places, len(symbols)), first[:-1]) / UNIT
     inside = np.concatenate([symbols != BLANK, [False]])
     begin = np.flatnonzero(inside[:-1] & ~np.concatenate([[False], inside[:-2]])) if len(symbols) > 1 else np.zeros(0, np.int64)
     if not len(begin):
         return out
-    padded = np.concatenate([places, np.zeros(SPAN)])
-    word = np.add.reduceat(padded, begin)
+    word = np.add.reduceat(np.concatenate([places, np.zeros(SPAN, np.int64)]), begin) / UNIT
     text = np.searchsorted(first, begin, "right") - 1
     order = np.lexsort((-word, text))
     place = np.arange(len(order)) - np.searchsorted(text, text[order])
@@ -252,15 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         share = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-3), 1 - 1e-3)
         return Model(np.zeros(SIZE, np.float32), np.zeros(1 + WORDS), float(np.log(share / (1 - share))))
     found = np.array(counts.collect(), np.int64).reshape(-1, 3)  # SIZE rows at most
-    n = found[:, 1:].sum(1)
     rarity, weights = np.ones(SIZE, np.float32), np.zeros(SIZE, np.float32)
-    rarity[found[:, 0]] = 1 - np.log1p(n) / np.log1p(totals[0] + totals[1])
+    rarity[found[:, 0]] = 1 - np.log1p(found[:, 1]) / np.log1p(totals[0])
     odds = np.log((found[:, 2] + 1) / (totals[1] + 2)) - np.log((found[:, 1] + 1) / (totals[0] + 2)) - 0.7
     weights[found[:, 0]] = np.maximum(odds, 0) * (found[:, 2] > 1)
     rarity[0] = weights[0] = 0
 
     def pick(weights: np.ndarray) -> list:
-        """The worst stretch of each text, and one other of each text of label 0."""
+        """The worst stretch of each text, up to STRETCHES nearly as bad ones of texts of label 1, and one other of each text
+        of label 0."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in text_blocks(batches, limit=BLOCK):
@@ -268,8 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
                 sums = stretch_sums(symbols, weights)
                 ids, y, out = block.batch.column(0).to_pylist(), block.batch.column(2).to_pylist(), []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    at = a + int(sums[a : b - SPAN].argmax())
-                    out.append((ids[i], y[i], symbols[at : at + PIECE].tobytes(), float(sums[at])))
+                    own, most = sums[a : b - SPAN - PIECE + 1].astype(np.float64), None  # a whole piece fits from each place
+                    for _ in range(STRETCHES if y[i] == 1 else 1):
+                        at = int(own.argmax())
+                        if most is not None and own[at] < NEARLY * most:
+                            break
+                        most = own[at] if most is None else most
+                        out.append((ids[i], y[i], symbols[a + at : a + at + PIECE].tobytes(), float(own[at])))
+                        own[max(0, at - PIECE + 1) : at + PIECE] = -np.inf
                     if y[i] == 0:
                         other = a + ids[i] * 2654435761 % max(1, b - a - PIECE - SPAN)
                         out.append((ids[i], -1, symbols[other : other + PIECE].tobytes(), 0.0))
@@ -278,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         return sorted(sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, piece binary, margin double").collect())
 
     for _ in range(ROUNDS):
-        rows = pick(weights)  # at most two pieces for each of `bound` rows
+        rows = pick(weights)  # at most STRETCHES pieces for each of `bound` rows
         pieces = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
         kind, margin = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
         # The lowest tenth of label 1's worst stretches is left out: texts whose label the text itself doesn't show.
