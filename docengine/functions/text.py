@@ -84,7 +84,7 @@ def chunk_id(doc_id: Column, strategy: Column, index: Column) -> Column:
 
 def alpha_ratio(text: Column) -> Column:
     """Share of letters among the characters."""
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def preview(text: Column, n: int = 80) -> Column:

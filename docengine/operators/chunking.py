@@ -195,7 +195,7 @@ def narrative_section() -> Column:
     lowest = F.array_min(F.transform("sections", lambda s: s["level"]))
     chosen = F.when(F.size(items) > 0, items).otherwise(F.filter("sections", lambda s: s["level"] == lowest))
 
-    def of(ss: Column) -> Column:
+    def of(ss: Column, tables: Column) -> Column:
         def section(s: Column, i: Column) -> Column:
             path = stripped(F.concat_ws(" ", s["section_number"], s["heading"]))
 
@@ -204,13 +204,13 @@ def narrative_section() -> Column:
                 return let(count_tokens(x["raw"]), whole)
 
             cut = let(F.coalesce(F.get(ss, i + 1)["char_start"], F.length("full_text")), lambda end: let(F.struct(_text(s["char_start"], end).alias("raw"), end.alias("end")), parts))
-            typed = lambda kind: F.transform(cut, lambda p: piece(p, s["heading"], s["section_number"], path, table=overlaps_any(F.col("tables"), p["char_start"], p["char_end"]), kind=kind))
+            typed = lambda kind: F.transform(cut, lambda p: piece(p, s["heading"], s["section_number"], path, table=overlaps_any(tables, p["char_start"], p["char_end"]), kind=kind))
             return let(section_type(s["heading"], s["section_number"]), typed)
 
         return F.flatten(F.transform(ss, section))
 
     whole = F.transform(packed_paragraphs(F.col("full_text"), F.lit(0), NARRATIVE), lambda p: piece(p, kind=F.lit("narrative")))
-    return F.when(_no_sections(), whole).otherwise(let(chosen, of))
+    return F.when(_no_sections(), whole).otherwise(let(chosen, lambda ss: let(F.col("tables"), lambda ts: of(ss, ts))))
 
 
 def semantic_segments(spans: list[tuple[str, int, int]], text: str, tokens: Callable[[str], int], vectors: np.ndarray, threshold: float, least: int, most: int, forbidden: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
@@ -308,7 +308,7 @@ def chunk_documents(docs: DataFrame, module: str, strategy: str, embed: Callable
     else:
         raise ValueError(f"no strategy {strategy!r} for module {module!r}")
     parent_at = F.array_position(F.transform("pieces", lambda p: F.when(p["chunk_level"] == "parent", p["parent_index"]).otherwise(-1)), F.col("p.parent_index")) - 1
-    rows = pieces.select("doc_id", "doc_title", "doc_type", "metadata", "pieces", F.posexplode("pieces").alias("chunk_index", "p"))
+    rows = pieces.select("doc_id", "doc_title", "doc_type", "metadata", "pieces", F.posexplode_outer("pieces").alias("chunk_index", "p")).where("p is not null")  # outer: a plain one infers filters that compute its array again
     own = lambda i: chunk_id(F.col("doc_id"), F.lit(strategy), i)
     return rows.select(
         own(F.col("chunk_index")).alias("chunk_id"), "doc_id", "doc_title", "doc_type", F.lit(module).alias("module"), F.lit(strategy).alias("chunk_strategy"), "chunk_index",

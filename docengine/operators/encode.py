@@ -64,11 +64,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl): one row for each distinct term of a text, with its length in terms. Texts without terms
-    have no rows."""
-    words = docs.select(key, terms(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl): one row for each distinct term of a text, with its length in terms; of the terms of `wanted`
+    only, if given, which thin the rows out before they are shuffled. Texts without such terms have no rows."""
+    words = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted, "term", "left_semi")
+    return words.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
 def collection_statistics(docs: DataFrame, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docengine.functions.arrays import let
 from docengine.functions.spans import containing, page_at
 from docengine.functions.text import ANSWER_SENTENCE, alpha_ratio, counted, sentence_spans, stripped, uuid5
 from docengine.operators.responses import answered, json_text
@@ -14,15 +15,22 @@ LEAST, MOST, TARGET, APART, PER_DOC = 150, 400, 250, 8, 3
 # Beginnings of boilerplate, and phrases that point elsewhere.
 BOILERPLATE = r"(?i)^\s*Footnote|^\s*Skip to|^\s*Search|^\s*Language selection|^\s*Return to footnote|^\s*Page \d+|^\s*Table of Contents|^\s*Item \d+[A-Z]?\s*$"
 ELSEWHERE = r"(?i)\b(as discussed above|see above|the above|the foregoing|the table below|the figure below|the chart below|the previous|the preceding|see Note \d+|refer to page \d+)\b"
+HINTS = ("above", "below", "the foregoing", "the previous", "the preceding", "see note", "refer to page")
 OPENING = '"(['
 
 
 def self_contained(text: Column) -> Column:
     """Fifty characters or more, opening like a sentence, not boilerplate, pointing nowhere else, half of it letters."""
-    t = stripped(text)
-    first = F.substring(t, 1, 1)
-    opens = first.rlike(r"^\p{Lu}") | F.contains(F.lit(OPENING), first)
-    return (F.length(t) >= 50) & opens & ~t.rlike(BOILERPLATE) & ~t.rlike(ELSEWHERE) & (alpha_ratio(t) >= 0.5)
+
+    def tests(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        opens = first.rlike(r"^\p{Lu}") | F.contains(F.lit(OPENING), first)
+        # Cheap tests go before the patterns: boilerplate shows at the beginning, and pointing phrases have one of few words.
+        boilerplate = F.substring(t, 1, 40).rlike(BOILERPLATE) | (F.startswith(F.lower(F.substring(t, 1, 5)), F.lit("item ")) & t.rlike(BOILERPLATE))
+        hinted = lambda low: F.coalesce(*(F.when(F.contains(low, F.lit(w)), True) for w in HINTS), F.lit(False))
+        return (F.length(t) >= 50) & opens & ~boilerplate & ~(let(F.lower(t), hinted) & t.rlike(ELSEWHERE)) & (alpha_ratio(t) >= 0.5)
+
+    return let(stripped(text), tests)
 
 
 def candidates(docs: DataFrame, least: int = LEAST, most: int = MOST, target: int = TARGET, apart: int = APART) -> DataFrame:
@@ -39,35 +47,35 @@ def candidates(docs: DataFrame, least: int = LEAST, most: int = MOST, target: in
     sums = F.aggregate(F.transform("__s", lambda s: s["n_tokens"]), start, lambda a, n: F.struct((a["total"] + n).alias("total"), F.concat(a["sums"], F.array(a["total"] + n)).alias("sums")), lambda a: a["sums"])
     df = df.withColumn("__sums", sums).withColumn("__n", F.size("__s"))
 
-    def window(i: Column) -> Column:
+    def end_of(i: Column) -> Column:
         # The first end whose running sum reaches the target; the sums do not fall, so a binary search finds it.
         goal = F.get("__sums", i) + target
-        ends = F.aggregate(
-            F.sequence(F.lit(0), F.lit(20)), F.struct((i + 1).alias("lo"), F.col("__n").alias("hi")),
-            lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(
-                F.when(F.get("__sums", F.floor((a["lo"] + a["hi"]) / 2).cast("int")) >= goal, F.struct(a["lo"].alias("lo"), F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("hi"))).otherwise(
-                    F.struct((F.floor((a["lo"] + a["hi"]) / 2).cast("int") + 1).alias("lo"), a["hi"].alias("hi"))
-                )
-            ),
-            lambda a: a["hi"],
-        )
-        return F.struct(i.alias("i"), ends.alias("j"))
-
-    def described(w: Column) -> Column:
-        a, b = F.get("__s", w["i"])["char_start"], F.get("__s", w["j"] - 1)["char_end"]
-        return F.struct(w["i"].alias("i"), w["j"].alias("j"), a.alias("a"), b.alias("b"), (F.get("__sums", w["j"]) - F.get("__sums", w["i"])).cast("int").alias("n"), stripped(F.substr("full_text", a + 1, b - a)).alias("t"))
-
-    windows = F.transform(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), window), described)
-    df = df.withColumn("__w", F.filter(windows, lambda w: w["n"].between(least, most) & self_contained(w["t"])))
-    none = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-(10**9)).alias("last"), F.lit(0).alias("next"))
-    take = lambda a, i: (i >= a["next"]) & (i - a["last"] >= apart)
-    chosen = F.aggregate(
-        F.transform("__w", lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"))), none,
-        lambda a, w: F.when(take(a, w["i"]), F.struct(F.concat(a["out"], F.array(w["i"])).alias("out"), w["i"].alias("last"), w["j"].alias("next"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    df = df.withColumn("__c", chosen)
-    rows = df.select("doc_id", "doc_type", "sections", "pages", F.explode(F.filter("__w", lambda w: F.array_contains("__c", w["i"]))).alias("w"))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.col("__n") + 1.0)).cast("int"))
+
+        def halve(a: Column, _: Column) -> Column:
+            middle = lambda m: F.when(F.get("__sums", m) >= goal, F.struct(a["lo"].alias("lo"), m.alias("hi"))).otherwise(F.struct((m + 1).alias("lo"), a["hi"].alias("hi")))
+            return F.when(a["lo"] >= a["hi"], a).otherwise(let(F.floor((a["lo"] + a["hi"]) / 2).cast("int"), middle))
+
+        return F.aggregate(steps, F.struct((i + 1).alias("lo"), F.col("__n").alias("hi")), halve, lambda a: a["hi"])
+
+    def described(i: Column, j: Column) -> Column:
+        a, b = F.get("__s", i)["char_start"], F.get("__s", j - 1)["char_end"]
+        return F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"), (F.get("__sums", j) - F.get("__sums", i)).cast("int").alias("n"))
+
+    # The fold looks at a window only where one may begin, and at its text only if its size fits.
+    window = "array<struct<i:int,j:int,a:int,b:int,n:int,t:string>>"
+    state = lambda out, last, following: F.struct(out.alias("out"), last.alias("last"), following.alias("next"))
+    none = state(F.array().cast(window), F.lit(-(10**9)), F.lit(0))
+
+    def tried(a: Column, w: Column) -> Column:
+        kept = lambda t: F.when(self_contained(t), state(F.concat(a["out"], F.array(F.struct(*(w[c].alias(c) for c in ("i", "j", "a", "b", "n")), t.alias("t")))), w["i"], w["j"])).otherwise(a)
+        return F.when(w["n"].between(least, most), let(stripped(F.substr("full_text", w["a"] + 1, w["b"] - w["a"])), kept)).otherwise(a)
+
+    def step(a: Column, i: Column) -> Column:
+        return F.when((i < a["next"]) | (i - a["last"] < apart), a).otherwise(let(end_of(i), lambda j: let(described(i, j), lambda w: tried(a, w))))
+
+    df = df.withColumn("__w", F.aggregate(F.sequence(F.lit(0), F.col("__n") - 1), none, step, lambda a: a["out"]))
+    rows = df.select("doc_id", "doc_type", "sections", "pages", F.explode_outer("__w").alias("w")).where("w is not null")  # outer: a plain one infers filters that compute its array again
     section = containing(F.col("sections"), F.col("w.a"))
     return rows.select(
         "doc_id", "doc_type", F.col("w.i").alias("first_sentence"), F.col("w.a").alias("char_start"), F.col("w.b").alias("char_end"), F.col("w.n").alias("n_tokens"), F.col("w.t").alias("passage_text"),

@@ -73,7 +73,7 @@ def sparse(queries: DataFrame, chunks: DataFrame, k: int, kind: str = "bm25", us
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
     stats = encode.collection_statistics(chunks, "content")  # one row
-    posted = encode.postings(chunks, "chunk_id", "content").join(wanted, "term", "left_semi")
+    posted = encode.postings(chunks, "chunk_id", "content", wanted)
     df = encode.document_frequency(posted)
     weighed = posted.join(df, "term").join(F.broadcast(stats))
     rarity = encode.idf(F.col("n"), F.col("df"))

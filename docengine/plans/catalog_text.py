@@ -24,8 +24,8 @@ s AS (SELECT doc_id, i, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(1
 @query(f"WITH {SENTENCES_SQL} SELECT doc_id, sentence, char_start::INT AS char_start, char_end::INT AS char_end, {TOKENS_SQL.format('sentence')}::INT AS n_tokens FROM s")
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with offsets and token counts."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.counted(X.sentence_spans(F.coalesce("text", F.lit(""))))).alias("s"))
-    return df.select("doc_id", F.col("s.text").alias("sentence"), "s.char_start", "s.char_end", "s.n_tokens")
+    df = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(X.counted(X.sentence_spans(F.coalesce("text", F.lit(""))))).alias("s"))
+    return df.where("s is not null").select("doc_id", F.col("s.text").alias("sentence"), "s.char_start", "s.char_end", "s.n_tokens")
 
 
 @query(f"WITH {SENTENCES_SQL}, n AS (SELECT doc_id, {TOKENS_SQL.format('sentence')} AS k FROM s) SELECT doc_id, count(*)::BIGINT AS n_sentences, sum(k)::BIGINT AS n_tokens, max(k)::INT AS longest FROM n GROUP BY doc_id")
@@ -52,8 +52,8 @@ SELECT {UUID_SQL.format(name="doc_id::VARCHAR || '|packed|' || chunk_index::VARC
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, T5: sentences packed greedily, with stable ids."""
     units = X.counted(X.sentence_spans(F.coalesce("text", F.lit(""))))
-    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack(units, 100, 600)).alias("chunk_index", "c"))
-    return df.select(X.chunk_id(F.col("doc_id"), F.lit("packed"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "c.content", "c.char_start", "c.char_end", "c.content_tokens")
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(chunking.pack(units, 100, 600)).alias("chunk_index", "c"))
+    return df.where("c is not null").select(X.chunk_id(F.col("doc_id"), F.lit("packed"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "c.content", "c.char_start", "c.char_end", "c.content_tokens")
 
 
 STRUCTURED_SQL = r"""
@@ -67,7 +67,7 @@ sec AS (SELECT doc_id, full_text, i, line, trim(regexp_extract(line, '^(Item\s+\
 SELECT doc_id, heading, 2 AS level, section_number, char_start::INT AS char_start, coalesce(lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start), length(full_text))::INT AS char_end FROM sec""")
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: sections by heading patterns."""
-    return structured(spark, sf_dir).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
+    return structured(spark, sf_dir).select("doc_id", F.explode_outer("sections").alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
 @query()
