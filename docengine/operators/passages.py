@@ -138,3 +138,14 @@ def qa_distribution(pairs: DataFrame) -> DataFrame:
     only_a = pairs.where("track = 'A'")
     kinds = [only_a.groupBy(F.lit(c).alias("measure"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("question_type", "difficulty")]
     return tracks.unionAll(answers).unionAll(kinds[0]).unionAll(kinds[1])
+
+
+def track(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.where(F.col("track") == name)
+
+
+def qa_records(pairs: DataFrame) -> DataFrame:
+    """(qa_id, record): each pair as JSON without its nulls, but for char_start and char_end, which always stand in it."""
+    place = F.concat(*(x for c in ("char_start", "char_end") for x in (F.lit(f'"{c}":'), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(","))))
+    rest = F.to_json(F.struct(*(c for c in pairs.columns if c not in ("char_start", "char_end"))))
+    return pairs.select("qa_id", F.concat(F.lit("{"), place, F.substr(rest, F.lit(2))).alias("record"))

@@ -6,7 +6,6 @@ each task and solves a d x d problem.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -41,15 +40,23 @@ class Model:
     mean: np.ndarray
     components: np.ndarray  # rows
 
-    def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump({"mean": self.mean.tolist(), "components": self.components.tolist()}, f)
+    def save(self, spark, path: str) -> None:
+        spark.createDataFrame([(self.mean.tolist(), self.components.tolist())], "mean array<double>, components array<array<double>>").write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(path: str) -> "Model":
-        with open(path) as f:
-            stored = json.load(f)
-        return Model(np.array(stored["mean"]), np.array(stored["components"]))
+    def load(spark, path: str) -> "Model":
+        row = spark.read.parquet(path).first()
+        return Model(np.array(row["mean"]), np.array(row["components"]))
+
+
+def union(parts: list[DataFrame], column: str = "embedding", least: int = 100) -> DataFrame:
+    """Vectors of several tables as one, repeats kept; fewer than `least` are an error."""
+    from functools import reduce
+
+    whole = reduce(DataFrame.unionAll, [p.select(column) for p in parts])
+    if (n := whole.count()) < least:
+        raise ValueError(f"{least} vectors or more are needed, got {n}")
+    return whole
 
 
 def moments(vectors: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:

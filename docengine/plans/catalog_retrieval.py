@@ -264,3 +264,51 @@ def dimension_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = encode.embed(whole_chunks(spark, sf_dir), "content")
     sources = bm25_topk(spark, sf_dir).where("rank = 1").select("query_id", F.col("chunk_id").alias("source_doc_id"), F.lit(0).alias("char_start"), F.lit(200).alias("char_end"))
     return sweeps.dimension_grid(q, c, sources)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_topk(spark, sf_dir).where("rank = 1").select("query_id", F.col("chunk_id").cast("string").alias("source_doc_id"), F.lit(0).alias("char_start"), F.lit(400).alias("char_end"))
+
+
+@query()
+def chunking_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """strategies' chunks, each retrieved among its own, by their metrics."""
+    from docengine.plans.catalog_text import financial_chunks, narrative_chunks
+
+    chunks = financial_chunks(spark, sf_dir).unionByName(narrative_chunks(spark, sf_dir))
+    return sweeps.strategy_grid(benchmark_queries(spark, sf_dir), chunks, _sources(spark, sf_dir))
+
+
+@query()
+def alpha_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics for each weight."""
+    q = encode.embed(benchmark_queries(spark, sf_dir), "query", prompt=encode.QUERY_PROMPT)
+    c = encode.embed(whole_chunks(spark, sf_dir), "content")
+    return sweeps.alpha_grid(q, c, _sources(spark, sf_dir).withColumn("source_doc_id", F.col("source_doc_id").cast("long")))
+
+
+@query()
+def track_b_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6-M9: assistant turns as answers, user turns as references."""
+    t = table(spark, sf_dir, "conversations")
+    pair = t.withColumn("pair", F.floor(F.col("turn") / 2)).groupBy("conv_id", "pair").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("reference_answer"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("answer"))
+    words = encode.terms(F.col("reference_answer"))
+    rows = pair.withColumn("key_concepts", F.slice(words, 1, 3)).withColumn("latency_ms", (F.col("conv_id") % 100).cast("double"))
+    return metrics.track_b_summary(metrics.answer_scores(rows))
+
+
+@query()
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifecycle's results in the query log's shape."""
+    from docengine.sources.querylog import records
+
+    chunks = encode.embed(whole_chunks(spark, sf_dir), "content")
+    config = lifecycle.Config(method="bm25", final_k=3)
+    return records(lifecycle.log_rows(lifecycle.run(benchmark_queries(spark, sf_dir), chunks, config), config)).drop("timestamp_utc")
+
+
+@query(f"WITH {POSTINGS_SQL}, {_top('bm25', 'b', 10)} SELECT query_id::VARCHAR AS label, round(max(score), 6)::DOUBLE AS value FROM b GROUP BY query_id")
+def score_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: the frame behind a bar chart."""
+    best = bm25_topk(spark, sf_dir).groupBy(F.col("query_id").cast("string").alias("query")).agg(F.max("score").alias("score"))
+    return sweeps.chart_bars(best, "query", "score")

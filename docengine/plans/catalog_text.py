@@ -182,3 +182,19 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence at the middle of each document, found within the row."""
     df = table(spark, sf_dir, "documents").select("doc_id", S.containing(X.sentence_spans(F.coalesce("text", F.lit(""))), F.floor(F.length("text") / 2).cast("int")).alias("s"))
     return df.where("s is not null").select("doc_id", F.lit(1).cast("long").alias("n"))
+
+
+@query()
+def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question pairs as JSON without nulls."""
+    return passages.qa_records(question_pairs(spark, sf_dir))
+
+
+@query(r"""WITH t AS (SELECT doc_id, length(text) AS n FROM documents), a AS (SELECT doc_id, n, i * 100 AS s, least(i * 100 + 100, n) AS e FROM (SELECT doc_id, n, unnest(range(0, n // 100 + 1)) AS i FROM t) WHERE i * 100 < n)
+SELECT doc_id, s::INT AS char_start, (greatest(0, least(e, 250) - greatest(s, 150)))::INT AS overlap, NOT (e <= 150 OR s >= 250) AS overlaps FROM a""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a hundred characters against the range from 150 to 250."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(100))).alias("char_start")).where("char_start < n")
+    end = F.least(F.col("char_start") + 100, F.col("n"))
+    spans = F.array(F.struct(F.lit(150).alias("char_start"), F.lit(250).alias("char_end")))
+    return df.select("doc_id", "char_start", S.overlap_length(F.col("char_start"), end, F.lit(150), F.lit(250)).alias("overlap"), S.overlaps_any(spans, F.col("char_start"), end).alias("overlaps"))

@@ -103,3 +103,14 @@ def json_array(df: DataFrame, order: str) -> DataFrame:
 def new_documents(parsed: DataFrame, present: DataFrame) -> DataFrame:
     """Documents that aren't there yet, to be appended."""
     return parsed.join(present.select("doc_id"), "doc_id", "left_anti")
+
+
+def load_all(spark: SparkSession, root: str, chunks: DataFrame, prefix: str = "", force: bool = False) -> dict[str, str]:
+    """Load each collection of the registry from a chunk table, one after the other; the first failure ends it."""
+    done = {}
+    for module, strategies in REGISTRY.items():
+        for strategy in strategies:
+            name = collection_name(module, strategy, prefix)
+            own = chunks.where((F.col("module") == module) & (F.col("chunk_strategy") == strategy))
+            done[name] = load(spark, f"{root.rstrip('/')}/{name}", own, force=force)
+    return done

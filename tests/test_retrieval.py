@@ -170,3 +170,28 @@ def test_passages(spark):
     assert got and all(150 <= r.n_tokens <= 400 and text[r.char_start : r.char_end].strip() == r.passage_text for r in got)
     starts = [r.first_sentence for r in got]
     assert starts[0] == 0 and all(b - a >= 8 for a, b in zip(starts, starts[1:]))
+
+
+def test_component_models_and_unions(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(120, 4))
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "embedding array<double>")
+    model, _ = pca.fit(pca.union([df.limit(60), df.limit(60)]), dims=(2, 4))
+    model.save(spark, f"file://{tmp_path}/model")
+    again = pca.Model.load(spark, f"file://{tmp_path}/model")
+    assert np.allclose(model.mean, again.mean) and np.allclose(model.components, again.components)
+    with pytest.raises(ValueError):
+        pca.union([df.limit(5)])
+
+
+def test_ablation_and_loads(spark, tmp_path):
+    from docengine.plans import sweeps
+
+    texts = ["alpha beta gamma delta", "beta beta epsilon", "zeta eta theta", "alpha zeta iota kappa"]
+    chunks = encode.embed(spark.createDataFrame([(f"c{i}", f"d{i}", t, 0, len(t), "compliance", "semantic") for i, t in enumerate(texts)], "chunk_id string, doc_id string, content string, char_start int, char_end int, module string, chunk_strategy string"), "content")
+    q = encode.embed(spark.createDataFrame([("1", "alpha gamma"), ("2", "theta")], "query_id string, query string"), "query")
+    sources = spark.createDataFrame([("1", "d0", 0, 20), ("2", "d2", 0, 14)], "query_id string, source_doc_id string, char_start int, char_end int")
+    rows = sweeps.ablation(spark, q, chunks, sources, methods=("bm25", "nope"), transforms=("none",), rerankers=("none", "cross_encoder"), k=3).orderBy("config_no").collect()
+    assert [(r.stage, r.method, r.reranker) for r in rows] == [(1, "bm25", "none"), (1, "nope", "none"), (2, "bm25", "none"), (3, "bm25", "none"), (3, "bm25", "cross_encoder")]
+    assert rows[0].ndcg == 1.0 and rows[1].ndcg is None and "nope" in rows[1].error
+    done = stores.load_all(spark, f"file://{tmp_path}", chunks)
+    assert done["compliance_semantic"] == "loaded" and len(done) == 6
