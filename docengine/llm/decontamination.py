@@ -221,3 +221,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+ORACLE_SQL = f"""
+WITH low AS (SELECT 'd' AS k, row_number() OVER () AS r, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL SELECT 'i', row_number() OVER (), item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') FROM benchmark),
+g AS (SELECT k, r, id, len(ws) AS n, p - 1 AS p, array_to_string(ws[p:p + {SHINGLE - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS p FROM low WHERE len(ws) > 0)),
+it AS (SELECT DISTINCT r AS i, id AS item_id, n AS size, greatest(n - {SHINGLE - 1}, 1) AS width, g FROM g WHERE k = 'i'),
+ni AS (SELECT count(DISTINCT i) AS n FROM it),
+wt AS (SELECT g, ln(1 + n / count(*)) AS w FROM it, ni GROUP BY g, n),
+tot AS (SELECT i, sum(w) AS total FROM it JOIN wt USING (g) GROUP BY i),
+hit AS (SELECT d.r, d.id AS doc_id, d.n, d.p, it.i, item_id, size, width FROM g d JOIN it ON d.k = 'd' AND d.g = it.g WHERE size <= d.n AND (size >= {SHINGLE} OR size = d.n)),
+win AS (SELECT DISTINCT r, doc_id, i, item_id, size, width, s FROM (SELECT *, unnest(range(greatest(p - width + 1, 0), least(p, greatest(n - {SHINGLE - 1}, 1) - width) + 1)) AS s FROM hit)),
+runs AS (SELECT DISTINCT win.r, doc_id, win.i, item_id, size, s, d.g FROM win JOIN g d ON d.k = 'd' AND d.r = win.r AND d.p BETWEEN s AND s + width - 1),
+sim AS (SELECT runs.r, doc_id, runs.i, runs.item_id, runs.size, s, sum(coalesce(w, ln(1 + ni.n))) AS own, coalesce(sum(w) FILTER (it.g IS NOT NULL), 0) AS shared FROM runs CROSS JOIN ni LEFT JOIN wt ON wt.g = runs.g LEFT JOIN it ON it.i = runs.i AND it.g = runs.g GROUP BY ALL)
+SELECT doc_id, item_id, s::BIGINT AS first_word, size::BIGINT AS n_words, round(similarity, 6) AS similarity
+FROM (SELECT *, shared / (own + total - shared) AS similarity FROM sim JOIN tot USING (i)) WHERE similarity >= {SIMILARITY} - 1e-9
+QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY round(similarity, 9) DESC, s) = 1"""

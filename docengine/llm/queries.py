@@ -73,5 +73,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.ORACLE_SQL,
     "op4_quality_rules": rules.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
+    "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_near_duplicates": neardup.ORACLE_SQL,
 }
