@@ -159,7 +159,12 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.search(q, encode.embed(whole_chunks(spark, sf_dir), "content"), "hybrid", 10)
 
 
-@query()
+@query(f"""WITH {POSTINGS_SQL}, {_top('bm25', 'b', 5)},
+pw AS (SELECT query_id, unnest(list_distinct({WORDS.format('substr(text, 1, 600)')})) AS term FROM b JOIN documents ON doc_id = chunk_id),
+pc AS (SELECT query_id, term, count(*) AS n FROM pw WHERE length(term) >= 3 GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS k FROM pc ANTI JOIN qt USING (query_id, term)),
+ad AS (SELECT query_id, string_agg(term, ' ' ORDER BY k) AS added FROM pk WHERE k <= 6 GROUP BY query_id)
+SELECT item_id AS query_id, 0 AS variant_no, concat_ws(' ', text, added) AS query FROM benchmark LEFT JOIN ad ON query_id = item_id""")
 def feedback_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3: queries expanded by what their first passages share."""
     q, c = benchmark_queries(spark, sf_dir), whole_chunks(spark, sf_dir)

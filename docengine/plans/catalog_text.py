@@ -70,7 +70,31 @@ def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structured(spark, sf_dir).select("doc_id", F.explode_outer("sections").alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
-@query()
+META_SQL = "'' AS regulatory_body, jurisdiction, '' AS doc_version, '' AS effective_date, company_ticker, '' AS company_name, NULL::INT AS fiscal_year, NULL::INT AS fiscal_quarter, '' AS industry_sector, '' AS naics_code, '' AS filing_date"
+TRIMMED = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(rf"""WITH {STRUCTURED_SQL},
+se AS (SELECT doc_id, full_text, heading, section_number, char_start, coalesce(lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start), length(full_text)) AS char_end FROM sec),
+st AS (SELECT *, substr(full_text, char_start + 1, char_end - char_start) AS raw FROM se),
+sn AS (SELECT *, {TRIMMED.format('raw')} AS content, {TOKENS_SQL.format(TRIMMED.format('raw'))} AS n FROM st),
+whole AS (SELECT t.doc_id, full_text, 0 AS char_start, full_text AS raw FROM t ANTI JOIN sec USING (doc_id)),
+long AS (SELECT doc_id, char_start, heading, section_number, raw FROM sn WHERE n > 600 UNION ALL SELECT doc_id, 0, '', '', raw FROM whole),
+lp AS (SELECT doc_id, char_start, heading, section_number, string_split_regex(raw, '
+\s*
+') AS ps, regexp_extract_all(raw, '
+\s*
+') AS gs FROM long),
+li2 AS (SELECT doc_id, char_start, heading, section_number, i, ps[i] AS piece, char_start + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0)::INT + coalesce(list_sum(list_transform(gs[1:i - 1], lambda x: length(x))), 0)::INT AS p0 FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM lp)),
+lu AS (SELECT doc_id, char_start, heading, section_number, list({{'t': {TRIMMED.format('piece')}, 's': (p0 + length(piece) - length(l{TRIMMED.format('piece')}))::INT, 'e': (p0 + length(piece))::INT, 'n': {TOKENS_SQL.format('piece')}::INT}} ORDER BY i) FILTER ({TRIMMED.format('piece')} <> '') AS us FROM li2 GROUP BY ALL),
+lf AS (SELECT doc_id, char_start, heading, section_number, {PACK_SQL.format(units='us', least=100, most=600)} AS x FROM lu WHERE us IS NOT NULL),
+lc AS (SELECT doc_id, char_start, heading, section_number, unnest({CLOSED_SQL}) AS c FROM lf),
+every AS (SELECT doc_id, char_start AS o, char_start::INT AS s, char_end::INT AS e, content, n::INT AS n, heading, section_number FROM sn WHERE n <= 600 AND content <> ''
+  UNION ALL SELECT doc_id, char_start, c.s, c.e, c.content, c.n, heading, section_number FROM lc),
+num AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY o, s) - 1)::INT AS chunk_index FROM every)
+SELECT {UUID_SQL.format(name="num.doc_id || '|regulatory_boundary|' || chunk_index::VARCHAR")} AS chunk_id, num.doc_id AS doc_id, 'Document ' || num.doc_id AS doc_title, lang AS doc_type, 'compliance' AS module, 'regulatory_boundary' AS chunk_strategy, chunk_index,
+  content, n AS content_tokens, s AS char_start, e AS char_end, heading AS section_title, section_number, heading AS hierarchy_path, NULL::VARCHAR AS parent_chunk_id, 'leaf' AS chunk_level, false AS contains_table, '' AS section_type,
+  {META_SQL.replace('jurisdiction', 'lang AS jurisdiction').replace('company_ticker', 'source AS company_ticker')} FROM num JOIN documents d ON d.doc_id::VARCHAR = num.doc_id""")
 def regulatory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each section."""
     return chunking.chunk_documents(structured(spark, sf_dir), "compliance", "regulatory_boundary")
