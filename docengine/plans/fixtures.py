@@ -11,8 +11,19 @@ from docengine.sources.sections import detect_sections
 EMPTY_PAGES = "array<struct<page_number:int,char_start:int,char_end:int>>"
 
 
+#: Tables whose rows cost much more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a small input comes in fewer partitions; larger inputs are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
