@@ -67,7 +67,7 @@ def terms(text: Column) -> Column:
 def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, dl): one row for each distinct term of a text, with its length in terms; of the terms of `wanted`
     only, if given, which thin the rows out before they are shuffled. Texts without such terms have no rows."""
-    words = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    words = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")  # outer: a plain one infers a filter that splits each text again
     if wanted is not None:
         words = words.join(wanted, "term", "left_semi")
     return words.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
