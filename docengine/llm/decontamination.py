@@ -1,6 +1,7 @@
 """Benchmark decontamination: fingerprints of item-sized windows, then exact weighted similarity.
 
-For each benchmark item, every stretch of a document as long as the item (in words) is a window. A window leaks the item
+For each benchmark item, every stretch of a document as long as the item (in words) is a window; a document with fewer words
+than the item is one window, its whole text, and is compared with the item exactly, without fingerprints. A window leaks the item
 if their weighted Jaccard similarity over runs of SHINGLE words is at least SIMILARITY; a run weighs more the fewer items
 have it. Windows get SimHash fingerprints of BITS bits over their weighted runs. An index of the items' fingerprints, cut
 into BLOCKS blocks each of which is looked up with all values at one bit's distance, finds every item within RADIUS of a
@@ -119,8 +120,8 @@ def load_items(rows: list[tuple]) -> Items:
     return Items(ids, np.array(sizes, np.int64), first, runs, weights, prints, float(np.log1p(len(ids))))
 
 
-def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray) -> list[tuple[int, int, float]]:
-    """(item, first word, similarity) of the best window of each item that a text leaks. known: items.table.get(hashes)."""
+def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(item, first word, words, similarity) of the best window of each item that a text leaks. known: items.table.get(hashes)."""
     places = np.flatnonzero(known >= 0)
     spans = items.ends[known[places]] - items.begins[known[places]]
     slots = items.order[np.repeat(items.begins[known[places]] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
@@ -131,10 +132,19 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
         item = int(owners[part[0]])
         size = int(items.sizes[item])
         width = max(1, size - SHINGLE + 1)  # runs of a window
-        if size > n_words or (size < SHINGLE and n_words != size):
+        if size < SHINGLE and n_words != size:
             continue
         if gains[part].sum() < SIMILARITY * items.totals[item] - 1e-9:
             continue
+        if size > n_words:
+            rows = np.unique(hashes)
+            found = items.table.get(rows)
+            each = np.where(found >= 0, items.weights[items.order[items.begins[np.maximum(found, 0)]]], items.unknown)
+            shared = each[np.isin(rows, items.runs[items.first[item] : items.first[item + 1]])].sum()
+            similarity = shared / (each.sum() + items.totals[item] - shared)
+            if similarity >= SIMILARITY - 1e-9:
+                best[item] = (float(similarity), 0)
+            continue
         # Windows in which the item's runs, counted each time, weigh enough.
         dense = np.bincount(at[part], gains[part], minlength=len(hashes))
         sums = np.concatenate([[0.0], np.cumsum(dense)])
@@ -157,10 +167,10 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
                 similarity = shared / (each[w].sum() + items.totals[i] - shared)
                 if similarity >= SIMILARITY - 1e-9 and (similarity, -some[w]) > best.get(int(i), (0.0, -1 << 62)):
                     best[int(i)] = (float(similarity), -int(some[w]))
-    return [(i, -start, s) for i, (s, start) in sorted(best.items())]
+    return [(i, -start, min(int(items.sizes[i]), n_words), s) for i, (s, start) in sorted(best.items())]
 
 
-def _block_leaks(items: Items, block) -> dict[int, list[tuple[int, int, float]]]:
+def _block_leaks(items: Items, block) -> dict[int, list[tuple[int, int, int, float]]]:
     """Leaks of the texts of a block, by row."""
     hashes, before, words = runs_of(block.data, block.starts)
     known = items.table.get(hashes)
@@ -199,9 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
             for block in text_blocks(batches, text, BLOCK):
                 rows = [(r, *x) for r, found in _block_leaks(items, block).items() for x in found]
                 if rows:
-                    at, item, start, similarity = zip(*rows)
+                    at, item, start, n, similarity = zip(*rows)
                     ids = block.batch.column(0).take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item], kind), pa.array(start, pa.int64()), pa.array([int(items.sizes[i]) for i in item], pa.int64()), pa.array([round(s, 6) for s in similarity])], schema.names)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item], kind), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array([round(s, 6) for s in similarity])], schema.names)
 
         found = docs.select("doc_id", text).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -120,6 +120,15 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 15
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    item = [f"w{i}" for i in range(37)]
+    rows = [(1, " ".join(item[:-2])), (2, " ".join(item[3:])), (3, " ".join(item[:-7])), (4, " ".join(item[:4])), (5, " ".join(item[:-1] + ["other"] * 3))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item)), (10, "a b c d e f g")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(1, 9): (0, 35, round(31 / 33, 6)), (2, 9): (0, 34, round(30 / 33, 6)), (5, 9): (0, 37, round(32 / 34, 6))}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, items).collect()) == [3, 4]
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = decontamination.load_items([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(50)]).build()
