@@ -3,7 +3,7 @@
 For each benchmark item, every stretch of a document as long as the item (in words) is a window; a document with fewer words
 than the item is one window, its whole text, and is compared with the item exactly, without fingerprints. A window leaks the item
 if their weighted Jaccard similarity over runs of SHINGLE words is at least SIMILARITY; a run weighs more the fewer items
-have it. Windows get SimHash fingerprints of BITS bits over their weighted runs. An index of the items' fingerprints, cut
+have it, counted over the distinct texts of the whole benchmark. Windows get SimHash fingerprints of BITS bits over their weighted runs. An index of the items' fingerprints, cut
 into BLOCKS blocks each of which is looked up with all values at one bit's distance, finds every item within RADIUS of a
 window: RADIUS is below twice the number of blocks, so some block differs in one bit at most. The candidates are verified
 exactly. Windows whose runs cover less than SIMILARITY of an item's weight can't be similar to it and get no fingerprint;
@@ -13,16 +13,18 @@ Words are runs of anything but white space, A-Z lower-cased. An item or window o
 all its words; an item without words, or null, is never leaked, and null and empty documents leak nothing. Items with the
 same text are all reported; repeated document rows give repeated rows, and columns other than the id and text pass through
 `clean` and are left out of `leaks`. The benchmark is a query set: it is read in slices of at most SLICE items, a broadcast
-of bounded size each, and each slice sees all documents.
+of bounded size each, and each slice sees all documents. One more broadcast has the runs that several item texts share,
+with their counts (16 bytes a run); all others weigh the same, in the benchmark or not, and need no entry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,21 @@ BLOCK = 1_000_000
 ITEM_WORDS = 2_000
 
 
+@dataclass
+class Weights:
+    """Weights of runs over `n` distinct item texts: `runs` are those that `counts` (two or more) of them have."""
+
+    n: int
+    runs: np.ndarray
+    counts: np.ndarray
+    table: KeyTable = field(default=None)
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = KeyTable(self.runs, self.counts, 1)
+        return np.log1p(self.n / self.table.get(runs))
+
+
 @dataclass
 class Items:
     """A slice of the benchmark. Items' distinct runs lie end to end in `runs`, item i's from first[i] to first[i + 1]."""
@@ -48,14 +65,19 @@ class Items:
     runs: np.ndarray
     weights: np.ndarray
     prints: np.ndarray
-    unknown: float
+    known: Weights
     order: np.ndarray = field(default=None)
     distinct: np.ndarray = field(default=None)
     begins: np.ndarray = field(default=None)
     index: dict = field(default=None)
 
-    def build(self) -> "Items":
+    def apart(self) -> "Items":
+        """The same without `known`, which has a broadcast of its own."""
+        return replace(self, known=None)
+
+    def build(self, known: Weights | None = None) -> "Items":
         """Lookup structures: runs -> the items that have them, and (size, block, value) -> items."""
+        self.known = known or self.known
         self.order = np.argsort(self.runs, kind="stable")
         self.distinct, self.begins = np.unique(self.runs[self.order], return_index=True)
         self.table = KeyTable(self.distinct, np.arange(len(self.distinct)), -1)
@@ -99,25 +121,51 @@ def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, before, words
 
 
-def load_items(rows: list[tuple]) -> Items:
-    """Items of (item_id, text) rows."""
+def item_parts(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The words and distinct runs of each item that a benchmark text gives."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    hashes, _, words = runs_of(raw, np.array([0, len(raw)]))
+    for at in range(0, int(words[-1]), ITEM_WORDS):
+        n = min(ITEM_WORDS, int(words[-1]) - at)
+        if not at or n >= SHINGLE:
+            yield n, np.unique(hashes[at : at + max(1, n - SHINGLE + 1)])
+
+
+def run_weights(benchmark: DataFrame) -> Weights:
+    """Weights over the whole benchmark; texts with the same words count once."""
+    low = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x09-\\x0D ]+", " ")
+    texts = benchmark.where("text is not null").select(F.trim(low).alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, runs in item_parts(text):  # a null stands for the item itself
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *runs.view(np.int64).tolist()], pa.int64())], ["run"])
+
+    found = texts.mapInArrow(run, "run long").groupBy("run").count().where("count > 1 or run is null").toArrow()
+    run, count = found.column(0).combine_chunks(), found.column(1).combine_chunks()
+    inside = run.is_valid()
+    n = count.filter(run.is_null())
+    return Weights(n[0].as_py() if len(n) else 0, run.filter(inside).to_numpy().view(np.uint64), count.filter(inside).to_numpy())
+
+
+def load_items(rows: list[tuple], known: Weights | None = None) -> Items:
+    """Items of (item_id, text) rows, weighed by `known` or else over these rows alone."""
     ids, sizes, parts = [], [], []
     for item, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        hashes, _, words = runs_of(raw, np.array([0, len(raw)]))
-        for at in range(0, int(words[-1]), ITEM_WORDS):
-            n = min(ITEM_WORDS, int(words[-1]) - at)
-            if at and n < SHINGLE:
-                continue
+        for n, runs in item_parts(text):
             ids.append(item)
             sizes.append(n)
-            parts.append(np.unique(hashes[at : at + max(1, n - SHINGLE + 1)]))
+            parts.append(runs)
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     runs = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    _, inverse, counts = np.unique(runs, return_inverse=True, return_counts=True)
-    weights = np.log1p(len(ids) / counts[inverse]) if len(runs) else np.zeros(0)
+    if known is None:
+        distinct = {(n, part.tobytes()): part for n, part in zip(sizes, parts)}
+        every, counts = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        known = Weights(len(distinct), every[counts > 1], counts[counts > 1])
+    weights = known.of(runs)
     prints = fingerprints(runs, weights, first) if len(runs) else np.zeros((0, 2), np.uint64)
-    return Items(ids, np.array(sizes, np.int64), first, runs, weights, prints, float(np.log1p(len(ids))))
+    return Items(ids, np.array(sizes, np.int64), first, runs, weights, prints, known)
 
 
 def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -138,8 +186,7 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
             continue
         if size > n_words:
             rows = np.unique(hashes)
-            found = items.table.get(rows)
-            each = np.where(found >= 0, items.weights[items.order[items.begins[np.maximum(found, 0)]]], items.unknown)
+            each = items.known.of(rows)
             shared = each[np.isin(rows, items.runs[items.first[item] : items.first[item + 1]])].sum()
             similarity = shared / (each.sum() + items.totals[item] - shared)
             if similarity >= SIMILARITY - 1e-9:
@@ -152,8 +199,7 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
         for k in range(0, len(windows), 512):
             some = windows[k : k + 512]
             rows = hashes[some[:, None] + np.arange(width)]
-            found = items.table.get(rows)
-            each = np.where(found >= 0, items.weights[items.order[items.begins[np.maximum(found, 0)]]], items.unknown)
+            each = items.known.of(rows)
             rows = np.sort(rows, 1)
             fresh = np.ones(rows.shape, bool)
             fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -194,18 +240,25 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
     yield part
 
 
+def shared_weights(benchmark: DataFrame) -> tuple[Weights, Broadcast]:
+    """The weights of all runs, and their broadcast to all slices."""
+    known = run_weights(benchmark)
+    return known, benchmark.sparkSession.sparkContext.broadcast(Weights(known.n, known.runs, known.counts))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each item that a document leaks."""
+    known, weights = shared_weights(benchmark)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *(T.StructField(n, t) for n, t in (("first_word", T.LongType()), ("n_words", T.LongType()), ("similarity", T.DoubleType())))])
     item_type = T.StructType([benchmark.schema["item_id"]])
     out = None
     for part in slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(load_items(part))
+        shared = docs.sparkSession.sparkContext.broadcast(load_items(part, known).apart())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            items, kind = shared.value.build(), to_arrow_schema(item_type).field(0).type
+            items, kind = shared.value.build(weights.value), to_arrow_schema(item_type).field(0).type
             for block in text_blocks(batches, text, BLOCK):
                 rows = [(r, *x) for r, found in _block_leaks(items, block).items() for x in found]
                 if rows:
@@ -220,11 +273,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, as they are, that leak no item."""
+    known, weights = shared_weights(benchmark)
     for part in slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(load_items(part))
+        shared = docs.sparkSession.sparkContext.broadcast(load_items(part, known).apart())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value.build()
+            items = shared.value.build(weights.value)
             for block in text_blocks(batches, text, BLOCK):
                 bad = _block_leaks(items, block)
                 yield block.batch.filter(pa.array([i not in bad for i in range(block.n)])) if bad else block.batch

@@ -129,6 +129,35 @@ def test_leaks_of_documents_shorter_than_the_item(spark):
     assert sorted(r.doc_id for r in decontamination.clean(docs, items).collect()) == [3, 4]
 
 
+def test_leaks_do_not_depend_on_slices_and_copies(spark, monkeypatch):
+    words_ = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    head = words_(99, 12)
+    texts = [head + words_(k, 25) for k in range(6)]  # the texts share some runs
+    near = texts[0][:-1] + ["other"]
+    late = texts[4][:-2] + ["other"]
+    docs = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(late))], "doc_id long, text string")
+    plain = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    copies = plain + [(100 + i, ("  ".join(texts[0])).upper()) for i in range(30)]
+
+    def found(items):
+        rows = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        return {(r.doc_id, r.item_id): (r.first_word, r.similarity) for r in rows}
+
+    want, many = found(plain), found(copies)
+    assert want.keys() == {(1, 0), (2, 4)}
+    assert many == want | {(1, 100 + i): want[1, 0] for i in range(30)}
+    monkeypatch.setattr(decontamination, "SLICE", 4)
+    assert found(plain) == want and found(copies) == many
+
+
+def test_leak_of_an_item_with_many_copies(spark):
+    item = [f"w{i}" for i in range(57)]
+    doc = item[:20] + ["other"] + item[21:]
+    items = [(i, " ".join(item)) for i in range(20)] + [(100 + k, " ".join(f"v{k}x{i}" for i in range(9))) for k in range(40)]
+    got = decontamination.leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.item_id, r.similarity) for r in got} == {(i, round(48 / 58, 6)) for i in range(20)}
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = decontamination.load_items([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(50)]).build()
