@@ -137,12 +137,17 @@ def margins(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.n
     if not n:
         return out
     places = whole_weights(symbols, weights)
-    out[:, 0] = np.maximum.reduceat(_stretches(places, len(symbols)), first[:-1]) / UNIT
+    for k in range(1, SPAN):  # places in the padding that reach into the next text
+        places[first[1:-1] - k] = 0
+    # A whole piece fits from each place, as in pick().
+    own = np.stack([first[:-1], first[1:] - SPAN - PIECE + 1], 1).reshape(-1)
+    out[:, 0] = np.maximum.reduceat(_stretches(places, len(symbols)), own)[::2] / UNIT
     inside = np.concatenate([symbols != BLANK, [False]])
     begin = np.flatnonzero(inside[:-1] & ~np.concatenate([[False], inside[:-2]])) if len(symbols) > 1 else np.zeros(0, np.int64)
     if not len(begin):
         return out
-    word = np.add.reduceat(np.concatenate([places, np.zeros(SPAN, np.int64)]), begin) / UNIT
+    cuts = np.union1d(begin, first[:-1])  # a text's last word ends with the text
+    word = np.add.reduceat(np.concatenate([places, np.zeros(SPAN, np.int64)]), cuts)[np.searchsorted(cuts, begin)] / UNIT
     text = np.searchsorted(first, begin, "right") - 1
     order = np.lexsort((-word, text))
     place = np.arange(len(order)) - np.searchsorted(text, text[order])

@@ -327,6 +327,24 @@ def test_kernel_machine_tolerates_insertions(spark):
     assert sum(got[i] >= 0.5 for i, m in marks if not m) <= 15 and sum(got[i] >= 0.5 for i, m in marks if m) >= 135
 
 
+def test_margins_do_not_depend_on_the_texts_around():
+    def margins(texts, weights):
+        raw = [t.encode() for t in texts]
+        return toxicity.margins(*toxicity.stream(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)), weights)
+
+    rng = np.random.default_rng(3)
+    weights = rng.random(toxicity.SIZE).astype(np.float32)
+    weights[0] = 0
+    insult = np.zeros(toxicity.SIZE, np.float32)
+    insult[toxicity.subsequence_ids(toxicity.stream(np.frombuffer(b"grumblequark", np.uint8), np.array([0, 12]))[0][:12], (0, 1, 2, 3))] = 1
+    texts = ["a clean text", "grumblequark and more", "", "x", "  grumblequark", "\t", "one more", "grumblequark"]
+    for w in (weights, -weights, rng.normal(size=toxicity.SIZE).astype(np.float32) * (weights > 0), insult):
+        alone = np.concatenate([margins([t], w) for t in texts])
+        for order in (np.arange(8), np.arange(8)[::-1], rng.permutation(8)):
+            assert (margins([texts[i] for i in order], w) == alone[order]).all()
+    assert margins(["a clean text", "grumblequark"], insult)[0, 0] == 0 < margins(["grumblequark"], insult)[0, 0]
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
