@@ -4,7 +4,8 @@ DataFrame functions only. The pieces between a pattern's matches and the matches
 points; running sums are taken over blocks of BLOCK matches, so that a text with very many matches costs little more than
 linear time. All loops in the patterns are possessive or disjoint, and a match can only begin where the one before ended
 or where its first run of characters begins: the places found are those of the plain patterns, in linear time and without
-deep recursion, on texts of any length.
+deep recursion, on texts of any length. IBANs alone have a closer one: their country's length ends them, so that words,
+years or other IBANs behind one are not taken along.
 
 Null and empty texts have no spans. Repeated rows give repeated rows; other columns of the input are not read, and an
 empty table gives an empty one. Spans of one kind never overlap; spans of two kinds may.
@@ -23,7 +24,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# The length of each country's account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+SIZED = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+# Of the country's length if such a number stands there, else of any length, up to where one of a country's length begins.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{SIZED}))?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}
 KINDS = list(PATTERNS)
 # What a span of each kind scores by itself, and the words nearby that raise or lower it by STEP.

@@ -406,6 +406,19 @@ def test_pii_kinds_and_checksums(spark):
     assert "a.b@c.de" not in clean[0].text and "<EMAIL>" in clean[0].text and "300.1.1.1" in clean[0].text and clean[1].text is None
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"
+    bare = de.replace(" ", "")
+    cases = [(f"{bare} BIC COBADEFFXXX", [bare]), (f"{de} BIC: X", [de]), (f"pay {de} 2024 A", [de]), (f"{de} {gb}", [de, gb]), (f"{no} {bare} {gb} X", [no, bare, gb]), (f"AB12 {de} C", [de]), (f"{no},{gb}", [no, gb]), (f"{bare}X {de[:-1]}1 BIC", [])]
+    rows = pii.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for r in rows:
+        text, want = cases[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("iban")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == want, text
+    masked = pii.masked(spark.createDataFrame([(1, f"to {de} BIC X")], "doc_id long, text string")).first().text
+    assert masked == "to <IBAN> BIC X"
+
+
 def test_pii_patterns_equal_the_plain_ones(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("a.@-+1 2(9)%_") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
