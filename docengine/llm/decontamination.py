@@ -10,7 +10,8 @@ exactly. Windows whose runs cover less than SIMILARITY of an item's weight can't
 that loses nothing and leaves few windows to fingerprint.
 
 Words are runs of anything but white space, A-Z lower-cased. An item or window of fewer than SHINGLE words has one run,
-all its words; an item without words, or null, is never leaked, and null and empty documents leak nothing. Items with the
+all its words. A limit: an item of fewer than SHINGLE words leaks only where it is a document's whole text, not where a
+longer document has it inside. An item without words, or null, is never leaked, and null and empty documents leak nothing. Items with the
 same text are all reported; repeated document rows give repeated rows, and columns other than the id and text pass through
 `clean` and are left out of `leaks`. The benchmark is a query set: it is read in slices of at most SLICE items, a broadcast
 of bounded size each, and each slice sees all documents. One more broadcast has the runs that several item texts share,
