@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a stretch of a line: WINDOW words, the next block beginning WINDOW / 2 words later, so
-any passage of up to WINDOW / 2 words of a line lies within one block. A block meets a template if it holds at least
+DataFrame functions only. A block is a stretch of a text, whatever its lines: WINDOW words, the next block beginning
+WINDOW / 2 words later, so any passage of up to WINDOW / 2 words lies within one block, wrapped over lines or not. A block meets a template if it holds at least
 CONTAINMENT of the template's distinct words. All such pairs are found: words are ordered by how many documents have
 them, rarest first; a pair that meets must share a word of the template's prefix and of the block's (prefix filter), the
 block must be long enough (length filter), and the words that can still be shared behind a shared one must suffice
@@ -64,7 +64,7 @@ def needed(n: int) -> int:
 
 def words_of(text: Column) -> Column:
     """Words of a text without upper-case letters."""
-    bare = F.regexp_replace(F.regexp_replace(text, "^" + SEPARATORS, ""), SEPARATORS + "$", "")
+    bare = F.regexp_replace(F.regexp_replace(text, "^" + SEPARATORS, ""), SEPARATORS + "\\z", "")
     return F.when(bare != "", F.split(bare, SEPARATORS)).otherwise(F.array().cast("array<string>"))
 
 
@@ -105,14 +105,15 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     sized = sized.withColumn("need", F.ceil(F.size("keys") * F.lit(CONTAINMENT) - 1e-9).cast("int"))
     prefixes = sized.select("template", "label", "keys", "need", F.posexplode(F.slice("keys", F.lit(1), F.size("keys") - F.col("need") + 1)).alias("t_at", "key"))
 
-    lines = first.where("__t is not null").select("__row", F.posexplode(F.split("__t", "\n")).alias("line", "l")).select("__row", "line", words_of(F.col("l")).alias("w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
-    blocks = lines.select("__row", "line", "w", F.explode(starts).alias("at")).select("__row", "line", "at", F.array_intersect(F.slice("w", F.col("at") + 1, F.lit(WINDOW)), literal(vocabulary)).alias("v"))
-    words = blocks.where(F.size("v") >= min(needed(len(s)) for s in sets)).select("__row", "line", "at", F.explode("v").alias("word"))
-    keyed = words.join(F.broadcast(frequency), "word").select("__row", "line", "at", F.struct(F.col("count").alias("n"), "word").alias("key"))
-    ordered = keyed.groupBy("__row", "line", "at").agg(F.sort_array(F.collect_list("key")).alias("b_keys"))  # WINDOW entries at most
     least = min(needed(len(s)) for s in sets)
-    probes = ordered.select("__row", "line", "at", "b_keys", F.posexplode(F.slice("b_keys", F.lit(1), F.greatest(F.size("b_keys") - least + 1, F.lit(0)))).alias("b_at", "key"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
+    block = lambda at: F.struct(at.alias("at"), F.array_intersect(F.slice("w", at + 1, F.lit(WINDOW)), literal(vocabulary)).alias("v"))
+    texts = first.where("__t is not null").select("__row", words_of(F.col("__t")).alias("w"))
+    blocks = texts.select("__row", F.explode(F.filter(F.transform(starts, block), lambda x: F.size(x["v"]) >= least)).alias("x"))
+    words = blocks.select("__row", "x.at", F.explode("x.v").alias("word"))
+    keyed = words.join(F.broadcast(frequency), "word").select("__row", "at", F.struct(F.col("count").alias("n"), "word").alias("key"))
+    ordered = keyed.groupBy("__row", "at").agg(F.sort_array(F.collect_list("key")).alias("b_keys"))  # WINDOW entries at most
+    probes = ordered.select("__row", "b_keys", F.posexplode(F.slice("b_keys", F.lit(1), F.greatest(F.size("b_keys") - least + 1, F.lit(0)))).alias("b_at", "key"))
     rest = F.least(F.size("b_keys") - F.col("b_at"), F.size("keys") - F.col("t_at")) + F.least("b_at", "t_at")
     near = probes.join(F.broadcast(prefixes), "key").where((F.size("b_keys") >= F.col("need")) & (F.col("b_at") <= F.size("b_keys") - F.col("need")) & (rest >= F.col("need")))
     shared = F.size(F.array_intersect("b_keys", "keys"))
@@ -150,8 +151,7 @@ w AS (SELECT r, doc_id, t, {split('t')} AS ws FROM d),
 tpl(id, label, words) AS (VALUES {rows}),
 b AS (SELECT r, CASE {phrase} END AS label, i - 1 AS start FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license'))),
 bb AS (SELECT r, count(*) AS n, min(start) AS f, max(start) AS l, list_sort(list(DISTINCT label)) AS ls FROM b WHERE label IS NOT NULL GROUP BY r),
-ln AS (SELECT r, {split('l')} AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w)),
-bl AS (SELECT r, lw[i + 1:i + {WINDOW}] AS lw FROM (SELECT r, lw, unnest(range(0, greatest(len(lw) - {WINDOW // 2 + 1}, 0) + 1, {WINDOW // 2})) AS i FROM ln WHERE len(lw) > 0)),
+bl AS (SELECT r, ws[i + 1:i + {WINDOW}] AS lw FROM (SELECT r, ws, unnest(range(0, greatest(len(ws) - {WINDOW // 2 + 1}, 0) + 1, {WINDOW // 2})) AS i FROM w WHERE len(ws) > 0)),
 m AS (SELECT r, label, round(len(list_intersect(list_distinct(lw), words)) / len(words), 6) AS c FROM bl, tpl WHERE len(list_intersect(list_distinct(lw), words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
 mm AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS c FROM m GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(array_to_string(bb.ls, ','), '') AS base_labels,

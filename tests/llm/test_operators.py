@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import product
@@ -431,7 +432,7 @@ def test_pii_patterns_equal_the_plain_ones(spark):
 
 def test_license_blocks(spark):
     gnu = "gnu of terms the under it modify or redistribute can you software free is this program license"  # all of a template but three words
-    rows = [(1, "foo license MIT the released\nunder"), (2, "x " * 100 + "License MIT the under released" + " y" * 100), (3, "MIT License, apache license; GENERAL public LICENSE mit license"), (4, "the under"), (5, "Licensed under CC BY-NC 3.0"), (6, f"words {gnu} words")]
+    rows = [(1, "foo license MIT the\nunder"), (2, "x " * 100 + "License MIT the under released" + " y" * 100), (3, "MIT License, apache license; GENERAL public LICENSE mit license"), (4, "the under"), (5, "Licensed under CC BY-NC 3.0"), (6, f"words {gnu} words")]
     got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "" and got[1].score == 0.0 and got[1].n_base == 0
     assert got[2].labels == "mit" and got[2].score == 1.0
@@ -440,3 +441,27 @@ def test_license_blocks(spark):
     assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels) == (4, 0, 7, "apache,gpl,mit")
     assert got[4].labels == "" and got[4].first_word is None
     assert got[5].labels == "cc-by-nc" and got[5].base_labels == "" and got[5].score == 1.0
+
+
+def test_licenses_wrapped_over_lines(spark):
+    rng = random.Random(7)
+    rows, k = [], 0
+    for label, template in licenses.TEMPLATES:
+        for width in (70, 75, 80, 24):
+            lead = " ".join(rng.choice(("lorem", "ipsum", "dolor")) for _ in range(rng.randrange(90)))
+            rows.append((k, textwrap.fill(f"{lead} {template} {lead}", width), label))
+            k += 1
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for i, _, label in rows:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+
+
+def test_license_words_at_unicode_line_ends(spark):
+    marks = ("\x85", "\u2028", "\u2029")
+    rows = [(i, f"apache license {m}") for i, m in enumerate(marks)] + [(10 + i, f"foo mit license. {m}") for i, m in enumerate(marks)] + [(20, "..mit license..\n"), (21, "\n")]
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(LOW))
+        places = [k for k in range(len(w) - 1) if w[k + 1] == "license" and w[k] in ("mit", "apache")]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word) == (len(w), len(places), places[0] if places else None)
+    assert got[0].n_words == 3 and got[10].n_words == 4
