@@ -2,12 +2,15 @@
 
 A suffix automaton of labelled text per language gives the longest match of that text from any place of a document. A
 document is parsed greedily into longest matches; the language whose text needs the fewest phrases, each weighing the
-logarithm of that text's length and all divided by the document's length, wins. Documents are parsed in stretches of
-STRETCH symbols, all stretches of a block in lockstep, so that a step is one numpy gather for each language.
+logarithm of that text's length and all divided by the document's length, wins. It is one parse of the whole text. Work
+is dealt out in stretches of STRETCH symbols, all stretches of a block in lockstep, so that a step is one numpy gather for
+each language: a stretch is first parsed from the automaton's start, then again from where the stretch before it ended, up to
+the step at which both parses meet in one state (from there on they are the same), until no stretch begins anew.
 
 Symbols are lower-case letters, the commonest beyond a-z with symbols of their own, and one blank for whatever stands
-between letters. The labelled text is bounded: at most SYMBOLS symbols over all languages, MOST for one, from documents
-picked by a hash of their id. Texts without letters, null texts and, without labelled text, all texts get `und` with
+between letters; a symbol that a language's text lacks is a phrase. The labelled text is a bounded sample: at most SYMBOLS
+symbols over all languages and MOST for one, in pieces of SAMPLE code points drawn by hash from all places of all
+labelled texts (equal pieces once). Texts without letters, null texts and, without labelled text, all texts get `und` with
 score 0; ties go to the language that sorts first. A prediction depends on the text alone, so repeated rows, ids, sources
 and extra columns make no difference.
 """
@@ -30,10 +33,10 @@ from docengine.llm.blocks import text_blocks
 from docengine.llm.labelled import remainder
 
 SYMBOLS, MOST = 400_000, 40_000
-DOCUMENTS = 96
+SAMPLE = 400
 OWN = 20
 ALPHABET, BLANK, REST, PAD = 64, 0, 27 + OWN, 63
-STRETCH = 256
+STRETCH, CHECK = 256, 32
 TEMPERATURE = 0.02
 BLOCK = 1_000_000
 
@@ -69,7 +72,8 @@ def stream(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def suffix_automaton(text: np.ndarray) -> np.ndarray:
     """Transitions [state * ALPHABET + symbol] of the automaton of all substrings, ready for greedy parsing: where no
-    transition exists, ~t stands, with t the state after that symbol from the root. PAD leads to a state that it keeps."""
+    transition exists, ~t stands, with t the state after that symbol from the root. Behind a symbol that the text lacks
+    comes a state with broken transitions only; PAD leads to one more state, which it keeps."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -96,12 +100,14 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                 link[q] = link[new] = clone
         last = new
     n = len(follow)
-    out = np.zeros((n + 1, ALPHABET), np.int32)
+    out = np.zeros((n + 2, ALPHABET), np.int32)
     sizes = np.array([len(f) for f in follow])
     rows = np.repeat(np.arange(n), sizes)
     out[rows, np.fromiter((c for f in follow for c in f), np.int64, sizes.sum())] = np.fromiter((t for f in follow for t in f.values()), np.int64, sizes.sum())
-    out[:, :PAD] = np.where(out[:, :PAD] == 0, ~out[0, :PAD], out[:, :PAD])
-    out[:, PAD] = n
+    begin = np.where(out[0, :PAD] == 0, n, out[0, :PAD])
+    out[:, :PAD] = np.where(out[:, :PAD] == 0, ~begin, out[:, :PAD])
+    out[0, :PAD] = begin
+    out[:, PAD] = n + 1
     return out.reshape(-1)
 
 
@@ -110,16 +116,42 @@ def _automaton(text: bytes) -> np.ndarray:
     return suffix_automaton(np.frombuffer(text, np.uint8))
 
 
-def phrases(stretches: np.ndarray, automaton: np.ndarray) -> np.ndarray:
-    """How many greedy longest-match phrases each row has; stretches[k]: the k-th symbols of all rows, PAD behind the end."""
-    state = np.zeros(stretches.shape[1], np.int32)
-    count = np.ones(stretches.shape[1], np.int32)
-    for symbols in stretches:
-        to = automaton.take(state * ALPHABET + symbols)
-        broken = to >> 31
-        count -= broken
-        state = to ^ broken
-    return count
+def phrases(stretches: np.ndarray, before: np.ndarray, automaton: np.ndarray) -> np.ndarray:
+    """How many greedy longest-match phrases each text has (0 for an empty one); stretches[k]: the k-th symbols of all
+    stretches, PAD behind a text's end; text i has the stretches before[i] to before[i + 1]."""
+    checks, n = len(stretches) // CHECK, stretches.shape[1]
+    ends, breaks = np.zeros((checks, n), np.int32), np.zeros((checks, n), np.int32)
+
+    def parse(which: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Parse these stretches from these states until they meet the parse known so far; those that end in a new state."""
+        for k in range(checks):
+            count = np.zeros(len(which), np.int32)
+            for symbols in stretches[k * CHECK : (k + 1) * CHECK]:
+                to = automaton.take(state * ALPHABET + (symbols if len(which) == n else symbols[which]))
+                broken = to >> 31
+                count -= broken
+                state = to ^ broken
+            new = state != ends[k, which]
+            breaks[k, which] = count
+            ends[k, which] = state
+            which, state = which[new], state[new]
+            if not len(which):
+                break
+        return which
+
+    ends[:] = -1
+    parse(np.arange(n), np.zeros(n, np.int32))
+    first = np.zeros(n + 1, bool)
+    first[before] = True
+    again = np.flatnonzero(~first[:n])
+    while len(again):
+        changed = parse(again, ends[-1, again - 1]) + 1
+        again = changed[~first[changed]]
+    full = before[:-1] < before[1:]
+    out = np.zeros(len(before) - 1, np.int64)
+    if full.any():
+        out[full] = 1 + np.add.reduceat(breaks.sum(0), before[:-1][full])
+    return out
 
 
 def stretches_of(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +168,19 @@ def stretches_of(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
 def training_texts(docs: DataFrame) -> tuple[str, dict[str, bytes]]:
     """The letters beyond a-z that get symbols, and each language's labelled text as symbols."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.sum(F.length("text"))).collect()}  # a row for each language
+    if not sizes:
         return "", {}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    bar = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, 3 * DOCUMENTS / n)))) for lang, n in counts.items()))
-    drawn = labelled.select("lang", "text", draw.alias("draw")).where(F.col("draw") <= bar)
-    numbered = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("k") <= DOCUMENTS)
-    share = max(4000, min(MOST, SYMBOLS // len(counts)))
-    rows = sorted(numbered.select("lang", "k", F.substring("text", 1, share).alias("text")).collect())
+    share = min(MOST, max(1, SYMBOLS // len(sizes)))
+    # Pieces are drawn with a chance that leaves some three times as much as is used; a piece's draw is its own.
+    bar = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 3 * (share + SAMPLE) / max(n, 1))))) for lang, n in sizes.items()))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(SAMPLE))
+    drawn = F.filter(F.transform(starts, lambda at: F.struct(at.alias("at"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), at), F.lit(1 << 30)).alias("draw"))), lambda x: x["draw"] <= bar)
+    pieces = labelled.select("lang", "text", F.explode(drawn).alias("x")).select("lang", F.substr("text", F.col("x.at"), F.lit(SAMPLE)).alias("piece"), "x.draw")
+    pieces = pieces.groupBy("lang", "piece").agg(F.min("draw").alias("draw"))  # copies meet before the shuffle
+    upto = F.sum(F.length("piece") + 1).over(W.partitionBy("lang").orderBy("draw", "piece").rowsBetween(W.unboundedPreceding, -1))
+    used = pieces.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < share)
+    rows = sorted(used.select("lang", "upto", "piece").collect())  # `share` code points and one piece for each language
     common = Counter(c for _, _, text in rows for c in text.lower() if ord(c) > 127 and c.isalpha())
     letters = "".join(c for c, _ in sorted(common.most_common(OWN), key=lambda x: (-x[1], x[0])))
     table, texts = symbol_table(letters), {}
@@ -170,10 +206,7 @@ def predict(docs: DataFrame, letters: str, texts: dict[str, bytes], text: str =
             labels, scores = np.full(block.n, "und", object), np.zeros(block.n)
             if known.any():
                 matrix, before = stretches_of(symbols, first)
-                full = before[:-1] < before[1:]
-                bits = np.zeros((len(names), block.n))
-                for k, automaton in enumerate(automata):
-                    bits[k, full] = np.add.reduceat(phrases(matrix, automaton), before[:-1][full]) * weights[k]
+                bits = np.stack([phrases(matrix, before, automaton) * weight for automaton, weight in zip(automata, weights)])
                 best = bits.argmin(0)
                 odds = np.exp(-TEMPERATURE * np.minimum((bits - bits.min(0)), 1e4))
                 labels[known] = np.array(names, object)[best[known]]

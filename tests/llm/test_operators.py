@@ -368,13 +368,23 @@ def test_phrases_equal_brute_force():
             n, at = n + 1, at + max(k - 1, 1)
         return n
 
+    # Texts of many stretches, among them one copied from the training text and ones that only meet it far on.
+    rows += [b"", bytes(rng.randrange(1, 4) for _ in range(257)), bytes(rng.randrange(1, 4) for _ in range(5000)), t, t + t, b"\x01" * 700, t[:7] + t * 5 + b"\x05" * 300 + t, bytes(rng.choice((1, 2, 3, 3, 3, 9)) for _ in range(4000))]
     matrix, before = langid.stretches_of(np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
-    got = langid.phrases(matrix, automaton)
-    for row, n in zip(rows, got.tolist()):
-        # Unknown symbols are phrases that the automaton leaves at its root.
-        assert abs(n - greedy(row)) <= sum(b > 3 for b in row) + 1
-        if max(row) <= 3:
-            assert n == greedy(row)
+    assert langid.phrases(matrix, before, automaton).tolist() == [greedy(row) for row in rows]
+    pieces = [bytes([1 + i % 3]) * 2 for i in range(4000)]
+    copied = np.frombuffer(b"".join(pieces), np.uint8)
+    matrix, before = langid.stretches_of(copied, np.array([0, len(copied)]))
+    assert langid.phrases(matrix, before, langid.suffix_automaton(copied)).tolist() == [1]
+
+
+def test_language_sample_is_bounded_and_from_all_places(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST", 2000)
+    rows = [(i, chr(97 + i % 26) * 3000 + chr(97 + (i + 1) % 26) * 3000, "aa") for i in range(26)] + [(100 + i, "x y", "bb") for i in range(50)] + [(i, "z" * 9000, "cc") for i in range(200, 230)] + [(300, None, "dd"), (301, "12", "ee")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, texts = langid.training_texts(docs)
+    assert set(texts) == {"aa", "bb", "cc"} and all(len(t) <= 2000 for t in texts.values())
+    assert len(set(texts["aa"])) > 3 and len(texts["aa"]) > 1500 and texts["bb"].strip(b"\0") == bytes([24, 0, 25])
 
 
 # --- rules, pii, licenses ----------------------------------------------------------------------------------------------
