@@ -86,39 +86,67 @@ def test_bpe_round_trip(docs):
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 
-def test_leaks_equal_brute_force(spark):
+def brute_leaks(rows, items):
+    """(doc, item) -> (similarity, first word) of the best window, over all windows."""
+    distinct = {tuple(w) for _, w in items if w}
+    df = Counter(s for w in distinct for s in set(shingles(list(w))))
+    weigh = lambda s: math.log1p(len(distinct) / df.get(s, 1))
+    want = {}
+    for doc, text in rows:
+        w = words(text)
+        runs = shingles(w)
+        for item, own in items:
+            n, mine = len(own), set(shingles(own))
+            if not n or not w or n < 5 and n != len(w):
+                continue
+            width = max(1, min(n, len(w)) - 4)
+            best = max((round(math.fsum(map(weigh, set(runs[a : a + width]) & mine)) / math.fsum(map(weigh, set(runs[a : a + width]) | mine)), 6), -a) for a in range(len(runs) - width + 1))
+            if best[0] >= 0.8:
+                want[doc, item] = (best[0], -best[1])
+    return want
+
+
+@pytest.mark.parametrize("slice_size", [2, 20_000])
+def test_leaks_equal_brute_force(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(decontamination, "SLICE", slice_size)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [text(n) for n in (3, 5, 12, 20, 40, 41, 60)] + [["same"] * 12]
+    items = [text(n) for n in (3, 5, 12, 20, 40, 41, 60)] + [["same"] * 12] + [text(2500)] + [[]]
+    items.append(items[4])
     rows = []
     for k in range(60):
         w = text(rng.randint(0, 80))
         if k % 2:
-            copy = list(rng.choice(items))
+            copy = list(rng.choice(items[:8]))
             for _ in range(rng.choice((0, 0, 1, 2))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            if k % 5 == 0:  # an item alone, shortened
+                w, copy = [], copy[rng.randrange(3) : len(copy) - rng.randrange(2)]
             at = rng.randint(0, len(w))
             w[at:at] = copy
         rows.append((k, " ".join(w)))
-    rows += [(100, " ".join(items[0])), (101, " ".join(["same"] * 40))]
-    df = Counter(s for w in items for s in set(shingles(w)))
-    weigh = lambda s: math.log1p(len(items) / df.get(s, 1)) if s in df else math.log1p(len(items))
-    want = {}
-    for doc, text_ in rows:
-        w = words(text_)
-        runs = shingles(w)
-        for item, own in enumerate(items):
-            n, mine = len(own), set(shingles(own))
-            if n > len(w) or n < 5 and n != len(w):
-                continue
-            width = max(1, n - 4)
-            best = max((round(sum(map(weigh, set(runs[a : a + width]) & mine)) / sum(map(weigh, set(runs[a : a + width]) | mine)), 6), -a) for a in range(len(runs) - width + 1))
-            if best[0] >= 0.8:
-                want[doc, item] = (best[0], -best[1])
-    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    whole = items[8]
+    rows += [(100, " ".join(items[0])), (101, " ".join(["same"] * 40)), (102, " ".join(text(900) + whole[:2350] + text(700))), (103, " ".join(whole[:1200])), (104, " ".join(whole[20:]))]
+    items = list(enumerate(items))
+    want = brute_leaks(rows, items)
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == want
-    assert len(want) > 15
+    assert len(want) > 15 and {(102, 8), (104, 8)} <= set(want) and (103, 8) not in want
+
+
+def test_fingerprints_of_windows_equal_those_of_the_same_runs():
+    rng = np.random.default_rng(4)
+    runs = rng.integers(0, 40, 300).astype(np.uint64)
+    weights = np.log1p(runs.astype(float) + 1)
+    previous = decontamination.previous_places(runs)
+    for width in (1, 7, 60, 300):
+        starts = np.arange(0, 300 - width + 1, 3)
+        got = decontamination.fingerprints(runs, weights, previous, width, starts)
+        for s, row in zip(starts, got):
+            own, at = np.unique(runs[s : s + width], return_index=True)
+            alone = decontamination.fingerprints(own, weights[s:][at], np.full(len(own), -1), len(own), np.zeros(1, np.int64))
+            assert (row == alone[0]).all()
 
 
 def test_leaks_of_documents_shorter_than_the_item(spark):
@@ -161,16 +189,16 @@ def test_leak_of_an_item_with_many_copies(spark):
 
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
-    items = decontamination.load_items([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(50)]).build()
-    prints = items.prints[rng.integers(0, 50, 200)].copy()
-    bits = np.unpackbits(prints.view(np.uint8).reshape(200, -1), axis=1)
+    items = decontamination.load_items([(i, " ".join(f"a{i}b{j}" for j in range(12 + i % 2))) for i in range(50)]).build()
+    bits = np.unpackbits(items.prints[rng.integers(0, 50, 200)].view(np.uint8).reshape(200, -1), axis=1)
     for row in bits:
-        flip = rng.choice(128, rng.integers(0, 40), replace=False)
-        row[flip] ^= 1
+        row[rng.choice(128, rng.integers(0, 40), replace=False)] ^= 1
     prints = np.packbits(bits, axis=1).view(np.uint64).reshape(-1, 2)
-    w, i = items.near(12, prints)
+    w, c = items.near(prints, np.full(200, 12), np.full(200, 12))
     distance = np.bitwise_count(prints[:, None] ^ items.prints[None]).sum(2)
-    assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontamination.RADIUS))))
+    near = (distance <= decontamination.RADIUS) & (items.sizes == 12)
+    assert set(zip(w.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near)))) and near.sum() > 60
+    assert decontamination.RADIUS < decontamination.BLOCKS * (decontamination.ITEM_FLIPS + decontamination.WINDOW_FLIPS + 1)
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------
