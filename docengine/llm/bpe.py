@@ -344,20 +344,20 @@ def id_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
-def encoding(batches: Batches, vocab_path: str, text: str) -> Batches:
+def encoding(batches: Batches, vocab_path: str, text: str, ids_to: str = "ids", ends_to: str = "slice_ends") -> Batches:
     vocab = vocabulary(vocab_path)
     for block in text_blocks(batches, text):
         ids, counts, ends, slices = encode_block(vocab, block.data, block.starts)
-        yield with_column(with_column(block.batch, "ids", _lists(ids, counts)), "slice_ends", _lists(ends, slices))
+        yield with_column(with_column(block.batch, ids_to, _lists(ids, counts)), ends_to, _lists(ends, slices))
 
 
-def decoding(batches: Batches, vocab_path: str) -> Batches:
+def decoding(batches: Batches, vocab_path: str, ids: str = "ids", into: str = "decoded") -> Batches:
     vocab = vocabulary(vocab_path)
     for batch in batches:
         if batch.num_rows:
-            raw, sizes = decode_block(vocab, *id_lists(batch.column("ids")))
+            raw, sizes = decode_block(vocab, *id_lists(batch.column(batch.schema.get_field_index(ids))))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield with_column(batch, "decoded", pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())]))
+            yield with_column(batch, into, pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())]))
 
 
 def digesting(batches: Batches, keep: list[str]) -> Batches:
@@ -396,14 +396,18 @@ def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """docs with n_tokens and ids, and `text` as decoded from the ids; columns with these names are replaced."""
+    """docs with n_tokens and ids, and `text` as decoded from the ids; columns with these names are replaced, all others kept."""
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
 
     def run(batches: Batches) -> Batches:
-        for batch in decoding(encoding(batches, vocab_path, "text"), vocab_path):
-            texts = batch.column("decoded").cast(pa.string())  # whole texts are UTF-8 again
-            ids = batch.column("ids")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts, ids.value_lengths().cast(pa.int64()), ids], [*others, "text", "n_tokens", "ids"])
+        for batch in batches:
+            kept = batch.select(others)
+            own = iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int32()), batch.column(batch.num_columns - 1)], ["row", "text"])])
+            for part in decoding(encoding(own, vocab_path, "text"), vocab_path):
+                texts = part.column("decoded").cast(pa.string())  # whole texts are UTF-8 again
+                ids = part.column("ids")
+                rows = kept.slice(part.column("row")[0].as_py(), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts, ids.value_lengths().cast(pa.int64()), ids], [*others, "text", "n_tokens", "ids"])
 
     added = [T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", IDS)]
     return docs.select(*others, "text").mapInArrow(run, T.StructType([docs.schema[c] for c in others] + added))

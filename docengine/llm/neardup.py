@@ -16,8 +16,9 @@ passes over what is connected already and returns a spanning forest of the links
 emitted, no group need fit into one task, and no link between different texts is lost. Components of the links follow.
 
 Null and empty texts, and texts without words, have empty sets, which are linked with nothing. A null id can't be linked:
-its component is null and it is kept. Rows with one id are one node, whatever their texts. Ties: the smallest id stands
-for its component. Runs are compared by 64-bit hashes. Empty tables give empty results.
+its component is null and it is kept. Rows with one id are one node, whatever their texts: what any of them is linked with
+is linked with all. Ties: the smallest id stands for its component. Runs are compared by 64-bit hashes. Empty tables give
+empty results. The steps' tables are deleted once the components are written.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from docengine.llm.blocks import LOWER, SPACE, mix64, shingle_hashes, slice_hashes, text_blocks, word_bounds
 from docengine.llm.graph import components
-from docengine.llm.staging import staged
+from docengine.llm.staging import kept, scratch, staged
 
 SHINGLE = 5
 BANDS = 48
@@ -42,6 +43,9 @@ PLACES = 1 << 20
 PIECE = 400_000
 MEMBERS = 256
 BITS = 1 << 28  # of the filter of clustered ids, at most: 32 MB
+PAGE = 1 << 18  # bits of the filter that one task makes and the driver fetches as one value
+HOT = 50_000  # classes of a bucket from which it is told to all tasks, for HOT_BUCKETS buckets at most
+HOT_BUCKETS = 10_000
 
 
 def rows_per_band(percent: int) -> int:
@@ -150,13 +154,21 @@ def join_sets(ids: list, sides: np.ndarray, sets: list[np.ndarray], percent: int
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids: any id of `ids` (doc_id) passes, most others don't. Its size is bounded by BITS, whatever
-    the number of ids; a fuller one passes more, and what passes still meets an exact join."""
+    the number of ids; tasks make pages of it, and the driver puts these together. A fuller one passes more (from some BITS / 16
+    ids on, a good part of all; from BITS on, almost everything), and what passes still meets an exact join."""
     bits = min(BITS, 1 << max(16, (16 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v")).collect()
-    out = np.zeros(bits // 32, np.uint32)
-    out[[r[0] for r in words]] = [r[1] for r in words]
-    return out
+    size = min(PAGE, bits)
+
+    def page(group: pa.Table) -> pa.Table:
+        on = np.zeros(size, np.uint8)
+        on[group.column("p").to_numpy() % size] = 1
+        return pa.table({"page": pa.array([group.column("p")[0].as_py() // size], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    places = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")).distinct()
+    out = np.zeros(bits // 8, np.uint8)
+    for number, raw in places.groupBy(F.floor(F.col("p") / size)).applyInArrow(page, "page long, bits binary").collect():  # bits / 8 bytes
+        out[number * (size // 8) : (number + 1) * (size // 8)] = np.frombuffer(raw, np.uint8)
+    return out.view(np.uint32)
 
 
 def passes(bitmap: np.ndarray, hashes: pa.Array) -> np.ndarray:
@@ -164,15 +176,33 @@ def passes(bitmap: np.ndarray, hashes: pa.Array) -> np.ndarray:
     return ((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)
 
 
+def tied(banded: DataFrame) -> DataFrame:
+    """(a, b): each class of a bucket (rep, band, key) with the bucket's smallest one. Buckets of HOT classes and more meet
+    theirs in a broadcast of HOT_BUCKETS rows at most, the largest first, so none is one task's."""
+    buckets = staged(banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1"))
+    hot = buckets.where(F.col("size") >= HOT).orderBy(F.desc("size"), "band", "key").limit(HOT_BUCKETS).select("band", "key", "first")
+    hot = staged(hot)
+    pair = lambda df: df.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    if hot.isEmpty():
+        return pair(banded.join(buckets, ["band", "key"]))
+    told = banded.join(F.broadcast(hot), ["band", "key"], "left")
+    rest = told.where("first is null").drop("first").join(buckets.join(F.broadcast(hot), ["band", "key"], "left_anti"), ["band", "key"])
+    return pair(told.where("first is not null")).unionAll(pair(rest))
+
+
 def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component of every row of docs; links: 100 * intersection >= percent * union."""
+    with scratch(docs.sparkSession):
+        return kept(_components_of(docs, percent, text))
+
+
+def _components_of(docs: DataFrame, percent: int, text: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     rows = staged(sketches(docs, percent, text))
     linkable = rows.where("n_shingles > 0 and doc_id is not null")
     classes = staged(linkable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    ties = staged(banded.join(buckets, ["band", "key"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
+    ties = staged(tied(banded).distinct())
     clusters = components(ties)
     members = staged(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
     # Only rows whose id is clustered need their sets again.
@@ -212,7 +242,10 @@ def components_of(docs: DataFrame, percent: int = 80, text: str = "text") -> Dat
     paired = cut.select("cluster", "doc_id", "runs", "side", "label", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     paired = paired.withColumns({"piece": F.least("side", "other"), "with": F.greatest("side", "other")})
     links = near.unionAll(paired.repartition("cluster", "piece", "with").groupBy("cluster", "piece", "with").applyInArrow(verify, link_schema))
-    linked = components(links)
+    # An id with texts of several classes links these.
+    several = linkable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
+    own = linkable.select("doc_id", "set_id").join(several, "doc_id", "left_semi").distinct().join(classes.select("set_id", "rep"), "set_id")
+    linked = components(links.unionAll(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     labels = classes.select("set_id", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 

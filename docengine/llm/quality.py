@@ -8,7 +8,7 @@ the sample that the network has not seen turns into a probability.
 
 Learning is bounded: `bound` labelled rows, `VOCABULARY` entries of `DIMENSION` floats. Scoring reads every text whole.
 Null and empty texts have a zero vector and get the network's score for it. Without labels of both kinds, each score is
-the share of label 1 (0.5 without any). Ties, repeated rows and extra columns make no difference: a score depends on the
+the share of label 1 (0.5 without any). Labels other than 0 count as 1; ids may be of any type that sorts. Ties, repeated rows and extra columns make no difference: a score depends on the
 text alone.
 """
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
             x = model.features(vocab, block.data, block.starts)
             yield pa.RecordBatch.from_arrays([block.batch.column(0), block.batch.column(2), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(featurise, "doc_id long, label int, x binary").collect())
+    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(featurise, T.StructType([sample.schema["doc_id"], *T.StructType.fromDDL("label int, x binary")])).collect())
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5

@@ -10,7 +10,11 @@ of all its subsequences are summed over every stretch of PIECE symbols and over
 those of its worst stretch and of its WORDS worst words. A label belongs to a text, not to a stretch, so training alternates: pick the worst stretch of each text, then
 train on them (multiple-instance learning); logistic regression on the margins gives the probability.
 
-Learning is bounded by `bound` labelled rows, outside the held-out fold; scoring reads every text whole. Null and empty
+Learning is bounded by `bound` labelled rows, outside the held-out fold, and each round trains on at most STRETCHES
+stretches of each text of label 1, but for the NOISE lowest of their margins (texts whose label the text itself doesn't show),
+and the NEGATIVES * n + 500 worst stretches of texts of label 0, n being the former's number. Scoring reads every text whole.
+Labels other than 0 count as 1. Letters beyond the Latin alphabet share five symbols by code point modulo 5, so insults in
+other scripts are told apart by fewer symbols. Ids may be of any type that sorts. Null and empty
 texts have margin zero. Without labels of both kinds each score is the share of label 1 (0 without any). A score depends
 on the text alone, so ties, repeated rows and extra columns make no difference.
 """
@@ -40,6 +44,7 @@ LANDMARKS = 320
 ROUNDS = 3
 WORDS = 3
 STRETCHES, NEARLY = 4, 0.5
+NOISE, NEGATIVES = 0.1, 3
 UNIT = 1 << 20
 SIZE = 1 << 20  # 32 symbols to the power ORDER
 BLOCK = 1_000_000
@@ -246,6 +251,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Model:
     sample = staged(labelled_sample(docs, labels, label, bound).repartition(12))
+    id_field = sample.schema["doc_id"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE), np.int32)  # texts of each label that have the subsequence, little skipped
@@ -277,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
             for block in text_blocks(batches, limit=BLOCK):
                 symbols, first = stream(block.data, block.starts)
                 sums = stretch_sums(symbols, weights)
-                ids, y, out = block.batch.column(0).to_pylist(), block.batch.column(2).to_pylist(), []
+                ids, y, draws, out = *(block.batch.column(k).to_pylist() for k in (0, 2, 3)), []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     own, most = sums[a : b - SPAN - PIECE + 1].astype(np.float64), None  # a whole piece fits from each place
                     for _ in range(STRETCHES if y[i] == 1 else 1):
@@ -288,21 +294,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
                         out.append((ids[i], y[i], symbols[a + at : a + at + PIECE].tobytes(), float(own[at])))
                         own[max(0, at - PIECE + 1) : at + PIECE] = -np.inf
                     if y[i] == 0:
-                        other = a + ids[i] * 2654435761 % max(1, b - a - PIECE - SPAN)
+                        other = a + draws[i] % max(1, b - a - PIECE - SPAN)
                         out.append((ids[i], -1, symbols[other : other + PIECE].tobytes(), 0.0))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["doc_id", "label", "piece", "margin"])
+                if out:
+                    found, kinds, some, margin = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, block.batch.schema.field(0).type), pa.array(kinds), pa.array(some), pa.array(margin)], ["doc_id", "label", "piece", "margin"])
 
-        return sorted(sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, piece binary, margin double").collect())
+        draw = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.lit(1 << 40)).alias("draw")
+        return sorted(sample.select("doc_id", "text", "label", draw).mapInArrow(run, T.StructType([id_field, *T.StructType.fromDDL("label long, piece binary, margin double")])).collect())
 
     for _ in range(ROUNDS):
         rows = pick(weights)  # at most STRETCHES pieces for each of `bound` rows
         pieces = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
         kind, margin = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
-        # The lowest tenth of label 1's worst stretches is left out: texts whose label the text itself doesn't show.
         bad = np.flatnonzero(kind == 1)
-        bad = bad[margin[bad] >= np.quantile(margin[bad], 0.1)]
+        bad = bad[margin[bad] >= np.quantile(margin[bad], NOISE)]
         good = np.flatnonzero(kind != 1)
-        good = good[np.argsort(-margin[good], kind="stable")[: 3 * len(bad) + 500]]
+        good = good[np.argsort(-margin[good], kind="stable")[: NEGATIVES * len(bad) + 500]]
         chosen = np.concatenate([bad, good])
         spread = lambda x, n: x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)]
         landmarks = np.unique(pieces[np.concatenate([spread(bad, LANDMARKS * 3 // 4), spread(good, LANDMARKS // 4)])], axis=0)
@@ -313,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
             rows = margins(*stream(block.data, block.starts), weights)
             yield pa.RecordBatch.from_arrays([block.batch.column(0), block.batch.column(2), pa.array(rows.tolist())], ["doc_id", "label", "x"])
 
-    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(measure, "doc_id long, label int, x array<double>").collect())
+    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(measure, T.StructType([id_field, *T.StructType.fromDDL("label int, x array<double>")])).collect())
     return Model(weights, *logistic(np.array([r[2] for r in rows]), np.array([r[1] for r in rows])))
 
 

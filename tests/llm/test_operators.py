@@ -241,6 +241,51 @@ def test_components_equal_brute_force(spark, percent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component) for r in got} == brute_components(rows, percent)
 
 
+def test_one_id_with_several_texts_is_one_node(spark, duck):
+    import duckdb
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (7, "x y"), (8, "x y"), (4, c + " more"), (6, "alone"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.report(df).collect())
+    want = {5: 3, 3: 3, 9: 3, 7: 4, 8: 4, 4: 4, 6: 6}
+    assert got == sorted((i, len(set(shingles(words(t)))), want[i], want[i] == i) for i, t in rows)
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    assert sorted(con.execute(neardup.ORACLE_SQL).fetchall()) == got
+
+
+def test_hot_buckets_give_the_same_ties(spark, monkeypatch):
+    banded = spark.createDataFrame([(r, k % 3, r // (10 ** (k % 3))) for r in range(60) for k in range(3)], "rep long, band int, key long")
+    plain = sorted(map(tuple, neardup.tied(banded).collect()))
+    monkeypatch.setattr(neardup, "HOT", 5)
+    assert sorted(map(tuple, neardup.tied(banded).collect())) == plain and len(plain) > 50
+    monkeypatch.setattr(neardup, "HOT_BUCKETS", 1)
+    assert sorted(map(tuple, neardup.tied(banded).collect())) == plain
+
+
+def test_filter_passes_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAGE", 1 << 12)
+    ids = spark.range(0, 9000, 3).select(F.col("id").alias("doc_id"))
+    bitmap = neardup.id_filter(ids)
+    hashes = spark.range(9000).select(F.xxhash64("id").alias("h")).toArrow().column("h").combine_chunks()
+    passed = neardup.passes(bitmap, hashes)
+    assert passed[::3].all() and passed.mean() < 0.5
+
+
+def test_circulant_signatures_miss_few_links():
+    rng = np.random.default_rng(11)
+    rows = neardup.rows_per_band(85)
+    missed = 0
+    for _ in range(300):
+        a = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+        b = np.concatenate([a[:92], rng.integers(0, 1 << 62, 8).astype(np.uint64)])  # similarity 92 / 108
+        x, y = (neardup.signature(s, rows * neardup.BANDS).reshape(neardup.BANDS, rows) for s in (a, b))
+        missed += not (x == y).all(1).any()
+    assert missed == 0
+
+
 def test_graph_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(35)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
