@@ -4,14 +4,15 @@ DataFrame functions only. Each text is counted once: words, symbols, repeated li
 Four rates follow, each larger the worse a text looks. For each stratum of text lengths and each rate, the labelled good
 documents give, at every cutoff of a fixed grid, how many good ones it would reject; an exact binomial tail says whether
 the true share of false rejections is proven to be at most ALPHA / 4. The smallest proven cutoff is used, and none where
-nothing is proven. With the level DELTA shared among all strata and rates (Bonferroni) and the ALPHA shared among the
+nothing is proven. A trial is a document id: repeated rows of a labelled document count once, and of an id's different
+texts the one with the smallest stratum and rates. With the level DELTA shared among all strata and rates (Bonferroni) and the ALPHA shared among the
 rates of a stratum, all strata together hold: with probability 1 - DELTA, no stratum loses more than ALPHA of its good
 documents to the rates. The tail grows as the cutoff falls, so testing the cutoffs from the largest down needs no
 further correction.
 
 Null and empty texts have no words and fail the base rule. Labels count once per id (good if any row says so); null
 labels and ids without a document count nothing; without labels no cutoff is proven and only the base rule rejects.
-Repeated rows give repeated rows, each counted as a document; other columns aren't read; empty tables give empty results.
+Repeated rows give repeated rows; other columns aren't read; empty tables give empty results.
 Windows and lines are compared by their text's 64-bit hash and by their text, respectively.
 """
 
@@ -83,7 +84,8 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), exactly from its TERMS largest terms, and what is left bounded by a geometric series; 1 if k >= n p."""
+    """P(Bin(n, p) <= k) from its TERMS largest terms; 1 if k >= n p. Exact for k < TERMS; for larger k the terms left out
+    are bounded by a geometric series, so the value is never too small, and a cutoff that it proves is proven."""
     n, k = n.cast("double"), k.cast("double")
     first = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
     start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
@@ -102,7 +104,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """For each stratum and rate, how many good documents it has, and the smallest proven cutoff (null: none)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
     columns = rates()
-    each = counted.join(good, "doc_id", "left_semi").select(stratum().alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), columns[r].alias("value")) for r in RATES))).alias("x"))
+    trials = counted.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(stratum().alias("stratum"), *(columns[r].alias(r) for r in RATES))).alias("t"))
+    each = trials.select("t.stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(f"t.{r}").alias("value")) for r in RATES))).alias("x"))
     values = each.where("stratum is not null").groupBy("stratum", "x.rate", "x.value").count()
     by_rate = values.groupBy("stratum", "rate").agg(F.sum("count").alias("n"), F.collect_list(F.struct("value", "count")).alias("values"))  # GRID + 2 entries at most
     rejected = lambda c: F.aggregate(F.filter("values", lambda v: v["value"] > c), F.lit(0).cast("long"), lambda a, v: a + v["count"])
@@ -141,7 +144,8 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
   FROM w LEFT JOIN again USING (r)),
 s AS (SELECT *, {strata} AS stratum, {', '.join(f'{v} AS v_{r}' for r, v in values.items())} FROM f),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-v AS (SELECT stratum, unnest([{', '.join(f"'{r}'" for r in RATES)}]) AS rate, unnest([{', '.join(f'v_{r}' for r in RATES)}]) AS value FROM s WHERE stratum IS NOT NULL AND doc_id IN (FROM good)),
+v AS (SELECT stratum, unnest([{', '.join(f"'{r}'" for r in RATES)}]) AS rate, unnest([{', '.join(f'v_{r}' for r in RATES)}]) AS value FROM (
+  SELECT * FROM s WHERE doc_id IN (FROM good) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stratum NULLS FIRST, {', '.join(f'v_{r}' for r in RATES)}) = 1) WHERE stratum IS NOT NULL),
 k AS (SELECT stratum, rate, c, count(*) AS n, count(*) FILTER (value > c) AS k FROM v, range({GRID + 1}) AS g(c) GROUP BY ALL),
 q AS (SELECT stratum, rate, c, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: {term})) END AS tail FROM k),
 cut AS (SELECT stratum, {', '.join(f"min(c) FILTER (rate = '{r}' AND tail <= {level}) AS c_{r}" for r in RATES)} FROM q GROUP BY stratum),

@@ -329,12 +329,43 @@ def test_lm_base_equals_brute_force(docs):
 
 def test_lm_head_and_tail_agree(docs, monkeypatch):
     path = public_tokenizers.path(queries.PIECES)
-    whole = {r.doc_id: r.score for r in lm.report(docs, path).collect()}
+    whole = {r.doc_id: (r.score, r.mixed) for r in lm.report(docs, path).collect()}
     monkeypatch.setattr(lm, "HEAD", 50)
-    split = {r.doc_id: r.score for r in lm.report(docs, path).collect()}
+    split = {r.doc_id: (r.score, r.mixed) for r in lm.report(docs, path).collect()}
     assert all(split[i] == pytest.approx(s, rel=1e-5) for i, s in whole.items())
 
 
+def test_lm_score_equals_brute_force(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    model = lm.pieces(path)
+    texts = ["The Thing in éü", "", None, "漢x a  thing\n", "thing thing of aaaa", "zq", "x1 unseen wörd", "the end of the thing"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    train = [words(t) for i, t in rows if crc(i, 7) != 2]
+    ends, inner = len(train), sum(map(len, train))
+    count = Counter(w for t in train for w in t)
+    known = min(0.98, max(0.02, 1 - sum(c == 1 for c in count.values()) / inner))
+
+    def arc(b, first):
+        h = lm.slice_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+        inside = math.exp(model.logs[model.table.get(h)][0])
+        return math.exp(model.logs[model.table.get(h ^ lm.FIRST)][0]) + math.exp(model.mark) * inside if first else inside
+
+    def lattice(word):
+        b = word.encode()
+        total = 0.0
+        for cuts in product((0, 1), repeat=len(b) - 1):
+            bounds = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(b)]
+            total += math.prod(arc(b[x:y], x == 0) for x, y in zip(bounds, bounds[1:]))
+        return total
+
+    go_on, stop = (inner + 1) / (inner + ends + 2), (ends + 1) / (inner + ends + 2)
+    got = {r.doc_id: r for r in lm.report(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for i, t in rows:
+        w = words(t)
+        assert got[i].score == pytest.approx(sum(math.log10(lattice(x) * go_on) for x in w) + math.log10(stop), rel=1e-6)
+        assert got[i].mixed == pytest.approx(sum(math.log10(((1 - known) * lattice(x) + known * count[x] / inner) * go_on) for x in w) + math.log10(stop), rel=1e-6)
+
+
 def test_lattice_sums_all_segmentations():
     model = lm.pieces(public_tokenizers.path(queries.PIECES))
 
@@ -401,6 +432,89 @@ def test_kernel_machine_tolerates_insertions(spark):
     assert sum(got[i] >= 0.5 for i, m in marks if not m) <= 15 and sum(got[i] >= 0.5 for i, m in marks if m) >= 135
 
 
+def test_kernel_equals_brute_force():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    pieces, rarity = rng.integers(0, 5, (12, toxicity.PIECE)).astype(np.uint8), rng.random(toxicity.SIZE).astype(np.float32)
+
+    def phi(piece):
+        out = Counter()
+        for a in range(toxicity.PIECE - toxicity.SPAN + 1):
+            for rest in combinations(range(1, toxicity.SPAN), toxicity.ORDER - 1):
+                key = 0
+                for k in (0, *rest):
+                    key = key * 32 + int(piece[a + k])
+                out[key] += toxicity.DECAY ** (rest[-1] + 1 - toxicity.ORDER)
+        return {k: v * float(rarity[k]) for k, v in out.items()}
+
+    maps = [phi(p) for p in pieces]
+    dot = lambda x, y: sum(v * y.get(k, 0.0) for k, v in x.items())
+    got = toxicity.kernel(pieces, pieces[:5], rarity)
+    for i, x in enumerate(maps):
+        for j, y in enumerate(maps[:5]):
+            assert got[i, j] == pytest.approx(dot(x, y) / math.sqrt(dot(y, y)), rel=1e-4)
+    # The folded weights of a piece's subsequences sum to the machine's value on the Nystroem map.
+    y = np.array([1.0] * 6 + [-1.0] * 6)
+    weights = toxicity.train_machine(pieces, y, pieces[:5], rarity)
+    gram = np.array([[dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) for b in maps[:5]] for a in maps[:5]])
+    beta = np.linalg.lstsq(np.array([[dot(x, b) / math.sqrt(dot(b, b)) for b in maps[:5]] for x in maps]), [sum(v / float(rarity[k]) * weights[k] for k, v in x.items() if k) for x in maps], rcond=None)[0]
+    assert np.linalg.matrix_rank(gram) == 5
+    folded = [sum(b * dot(x, m) / math.sqrt(dot(m, m)) for b, m in zip(beta, maps[:5])) - sum(b * x.get(0, 0.0) * m.get(0, 0.0) / math.sqrt(dot(m, m)) for b, m in zip(beta, maps[:5])) for x in maps]
+    direct = [sum(v / float(rarity[k]) * weights[k] for k, v in x.items() if k) for x in maps]
+    assert np.corrcoef(folded, direct)[0, 1] > 0.99
+
+
+def test_features_equal_brute_force():
+    texts = ["The cat, the cat sat.", "", "A A a 12!!", "word"]
+    raw = [t.encode() for t in texts]
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    keys = np.sort(np.unique(quality.tokens(data, starts)[0]))[::2]
+    vectors = np.random.default_rng(2).normal(size=(len(keys) + quality.SHAPES, quality.DIMENSION)).astype(np.float32)
+    w = quality.DIMENSION + quality.CHANNELS
+    model = quality.Model(keys, vectors, (), np.zeros(w), np.ones(w), 1.0)
+    table = quality.KeyTable(keys, np.arange(len(keys)), -1)
+    got = model.features(table, data, starts)
+    for t, row in zip(texts, got):
+        toks = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", t)
+        if not toks:
+            assert not row.any()
+            continue
+        shape = [4 if not x[0].isalnum() else 3 if x.isdigit() else 0 if x.islower() else 2 if x.isupper() and len(x) > 1 else 1 for x in toks]
+        own = [quality.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0][0] for x in toks]
+        at = {int(k): i for i, k in enumerate(keys)}
+        ids = [at.get(int(k), len(keys) + s) for k, s in zip(own, shape)]
+        assert np.allclose(row[: quality.DIMENSION], np.mean([vectors[i] for i in ids], 0), atol=1e-5)
+        same = lambda k: sum(own[i] == own[i - k] for i in range(k, len(own))) / len(own)  # noqa: E731, B023
+        assert np.allclose(row[quality.DIMENSION :], [same(1), same(2), np.mean([min(len(x), 40) / 10 for x in toks]), np.mean([i >= len(keys) for i in ids]), math.log1p(len(toks)) / 5], atol=1e-5)
+
+
+def test_network_separates_and_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no linear machine can
+    weights = quality.train_network(x, y)
+    assert ((quality.logits(weights, x) > 0) == y).mean() > 0.9
+    z = rng.normal(size=5000) * 2
+    drawn = (rng.random(5000) < quality.sigmoid(z)).astype(float)
+    assert quality.fit_temperature(3 * z, drawn) == pytest.approx(3, rel=0.15)
+
+
+def test_classifiers_take_text_ids_and_repeated_ids(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        rows.append((f"id-{i}", " ".join(rng.choice(("spam offer click now !!!" if bad else "a quiet plain sentence about rivers").split()) for _ in range(30))))
+        marks.append((f"id-{i}", 3 if bad else 0, 2 if bad else 0))
+    rows += [("id-5", "another text of the same id"), rows[7]]
+    docs, labels = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(marks, "doc_id string, quality int, toxic int")
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        once = {(r.doc_id, round(r.score, 12)) for r in module.classify(docs, labels, label).collect()}
+        assert once == {(r.doc_id, round(r.score, 12)) for r in module.classify(docs.orderBy(F.rand(4)), labels, label).collect()}
+        assert {i for i, _ in once} == {r[0] for r in rows}
+
+
 def test_margins_do_not_depend_on_the_texts_around():
     def margins(texts, weights):
         raw = [t.encode() for t in texts]
@@ -471,6 +585,24 @@ def test_binomial_tail(spark):
         assert r.p == pytest.approx(1.0 if r.k >= r.n * 0.0125 else math.fsum(math.exp(log(i)) for i in range(r.k + 1)), rel=1e-6)
 
 
+def test_binomial_tail_is_never_too_small(spark):
+    cases = [(300_000, 3000), (400_000, 4900), (2_000_000, 24_700), (10**7, 124_000)]
+    df = spark.createDataFrame(cases, "n long, k long").select("n", "k", rules.binomial_tail(F.col("n"), F.col("k"), 0.0125).alias("p"))
+    for r in df.collect():
+        log = lambda i: math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.0125) + (r.n - i) * math.log(0.9875)  # noqa: E731, B023
+        exact = math.fsum(math.exp(log(i)) for i in range(max(0, r.k - 20_000), r.k + 1))
+        assert exact * (1 - 1e-6) <= r.p <= exact * 1.02
+
+
+def test_repeated_labelled_rows_are_one_trial(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(30)) + ("!" * 9 if i < 12 else "")) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    frame = lambda r: rules.counts(spark.createDataFrame(r, "doc_id long, text string"))
+    read = lambda f: sorted(map(tuple, rules.cutoffs(f, labels).collect()), key=str)
+    assert read(frame(rows)) == read(frame(rows + rows[20:] * 3)) == read(frame(rows + [(i, t + " x" * 40) for i, t in rows[:5]]))
+
+
 def test_false_rejections_are_limited(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -490,6 +622,13 @@ def test_pii_kinds_and_checksums(spark):
     assert "a.b@c.de" not in clean[0].text and "<EMAIL>" in clean[0].text and "300.1.1.1" in clean[0].text and clean[1].text is None
 
 
+def test_words_nearby_decide_on_added_spans(spark):
+    iban, card = "DE89 3704 0044 0532 0130 00", "378282246310005"
+    rows = [(1, f"to {iban} now"), (2, f"serial {iban}"), (3, f"serial {iban} of the bank"), (4, f"no. {card}"), (5, f"visa {card}"), (6, f"visa {card}, isbn")]
+    got = {r.doc_id: r.spans.split(":")[0] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "iban", 2: "", 3: "iban", 4: "", 5: "card", 6: ""}
+
+
 def test_ibans_before_capitals_and_digits(spark):
     de, gb, no = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"
     bare = de.replace(" ", "")
