@@ -8,6 +8,8 @@
 
 All stages but the last return the columns that they got. Nulls: a null text is not toxic, has no duplicate, leaks and
 hides nothing, and encodes to no ids and an empty text; rows with null ids stay unless their own text rejects them.
+`run` leaves the rows of the stages before the last in the shared folder, as its result is read from them; a caller that
+writes the result inside `staging.scratch` has them deleted.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm import bpe, decontamination, neardup, pii, toxicity
 from docengine.llm.queries import BPE_RANKS, table
-from docengine.llm.staging import staged
+from docengine.llm.staging import kept, scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        with scratch(spark):  # the operators' own tables go when the stage's rows are written
+            docs = kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
