@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,23 @@ K1, B = 1.2, 0.75
 WORD = "[^a-z0-9]+"
 
 
+@lru_cache(maxsize=200_000)
+def _component(word: str) -> tuple[int, int]:
+    h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "little"), 1 if h[4] & 1 else -1
+
+
 def hashing_embedder(texts: list[str], dim: int = FULL) -> np.ndarray:
-    """The offline default: words hashed to signed components, rows of unit length. A neural model fits the same interface."""
-    out = np.zeros((len(texts), dim), np.float32)
-    for row, text in zip(out, texts):
-        for word in re.findall(r"\w+", (text or "").lower()):
-            h = hashlib.blake2b(word.encode(), digest_size=8).digest()
-            row[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    """The offline default: words hashed to signed components, rows of unit length. A neural model fits the same interface.
+    Each distinct word of a batch is hashed once, and all texts' components are summed at once."""
+    found = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    words = [w for ws in found for w in ws]
+    codes, distinct = pd.factorize(np.array(words, object)) if words else (np.zeros(0, np.int64), [])
+    parts = np.array([_component(w) for w in distinct], np.int64).reshape(-1, 2)
+    rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
+    at = rows * dim + parts[codes, 0] % dim if words else rows
+    out = np.bincount(at, parts[codes, 1] if words else None, minlength=len(texts) * dim).reshape(len(texts), dim)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def embed(texts: DataFrame, text: str, into: str = "embedding", embedder: Callable[[list[str]], np.ndarray] = hashing_embedder, prompt: str = "") -> DataFrame:
@@ -73,9 +83,20 @@ def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = No
     return words.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
-def collection_statistics(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n, the number of texts, and avgdl, their mean length in terms."""
-    return docs.select(F.size(terms(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def counted_terms(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """postings, and for each text a row with tf 0 and its length: what the statistics need, from the same pass.
+
+    Rows are told apart by tf, which is an aggregate, so all parts of a plan share one shuffle of them.
+    """
+    words = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit("")))).alias("term"))
+    if wanted is not None:
+        words = words.join(wanted, "term", "left_semi")
+    return words.groupBy(key, "term").agg(F.count_if(F.col("term") != "").cast("int").alias("tf"), F.first("dl").alias("dl"))
+
+
+def statistics_of(counted: DataFrame) -> DataFrame:
+    """One row from counted_terms: n, the number of texts, and avgdl, their mean length in terms."""
+    return counted.where("tf = 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

@@ -17,8 +17,13 @@ from docengine.operators import encode
 from docengine.operators.fusion import rrf
 
 DIGITS = 6
-#: Queries above this number are joined by a shuffle instead of a broadcast.
+#: Dense queries go in blocks of this number, each a broadcast.
 BROADCAST_QUERIES = 10_000
+#: Rows (query, term) up to which a query set is told to all tasks; larger sets are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
+KINDS = ("learned", "bm25")
+#: Terms up to which an index is read by a filter that reaches its files.
+PUSHED_TERMS = 2_000
 
 
 def payload_filter(filters: dict | None) -> Column | None:
@@ -47,7 +52,9 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int, dim: int | None = None,
     """
     cut = (lambda v: encode.unit(v)) if dim is None else (lambda v: encode.at_dim(v, dim, dims))
     c = chunks.select("chunk_id", cut(F.col("embedding")).alias("cv"))
-    q = queries.select("query_id", cut(F.col("embedding")).alias("qv"))
+    if "query" in queries.columns:
+        queries = queries.where(encode.clean_query(F.col("query")) != "")
+    q = queries.where("embedding is not null").select("query_id", cut(F.col("embedding")).alias("qv"))
     blocks = max(1, -(-q.count() // BROADCAST_QUERIES))
     parts = []
     for b in range(blocks):
@@ -63,32 +70,99 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def sparse(queries: DataFrame, chunks: DataFrame, k: int, kind: str = "bm25", use_idf: bool = True) -> DataFrame:
-    """BM25 or learned-sparse top-k: queries (query_id, query) against chunks (chunk_id, content).
+def _known_kind(kind: str) -> str:
+    if kind not in KINDS:
+        raise ValueError(f"unknown sparse encoder {kind!r}")
+    return kind
+
+
+def _weight(kind: str, use_idf: bool) -> Column:
+    rarity = encode.idf(F.col("n"), F.col("df"))
+    if kind == "bm25":
+        return encode.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * (rarity if use_idf else F.lit(1.0))
+    return encode.learned_weight(F.col("tf"), rarity)
+
 
-    Postings meet the query terms in a join on the term; only terms that some query has get past it.
+def _told(terms: DataFrame):
+    """Broadcast for what a query set of bounded size determines, else nothing."""
+    return F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+
+
+def scores(queries: DataFrame, chunks: DataFrame, kinds: tuple[str, ...] = KINDS, use_idf: bool = True) -> DataFrame:
+    """(query_id, chunk_id, a column for each kind): every chunk that shares a term with a query.
+
+    Texts are split into terms once: postings of the queries' terms, their document frequencies and the collection's
+    statistics are parts of one shuffle. What is joined by term is told to all tasks, so a frequent term is no hot key.
     """
-    if kind not in ("bm25", "learned"):
-        raise ValueError(f"unknown sparse encoder {kind!r}")
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    stats = encode.collection_statistics(chunks, "content")  # one row
-    posted = encode.postings(chunks, "chunk_id", "content", wanted)
+    told = _told(terms)
+    none = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    counted = encode.counted_terms(chunks, "chunk_id", "content", told(terms.select("term").unionAll(none).distinct()))
+    posted = counted.where("tf > 0")
     df = encode.document_frequency(posted)
-    weighed = posted.join(df, "term").join(F.broadcast(stats))
-    rarity = encode.idf(F.col("n"), F.col("df"))
-    if kind == "bm25":
-        weight = encode.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * (rarity if use_idf else F.lit(1.0))
-    else:
-        weight = encode.learned_weight(F.col("tf"), rarity)
-    weighed = weighed.select("chunk_id", "term", weight.alias("w"))
-    scored = weighed.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-    return top_k(scored, k)
+    weighed = posted.join(told(df), "term").join(F.broadcast(encode.statistics_of(counted)))  # one row
+    return _scored(weighed, told(terms), kinds, use_idf)
+
+
+def _scored(weighed: DataFrame, terms: DataFrame, kinds: tuple[str, ...], use_idf: bool) -> DataFrame:
+    parts = weighed.select("chunk_id", "term", *(_weight(k, use_idf).alias(k) for k in kinds))
+    return parts.join(terms, "term").groupBy("query_id", "chunk_id").agg(*(F.sum(F.col(k) * F.col("qtf")).alias(k) for k in kinds))
+
+
+def sparse(queries: DataFrame, chunks: DataFrame, k: int, kind: str = "bm25", use_idf: bool = True) -> DataFrame:
+    """BM25 or learned-sparse top-k: queries (query_id, query) against chunks (chunk_id, content)."""
+    return top_k(scores(queries, chunks, (_known_kind(kind),), use_idf).withColumnRenamed(kind, "score"), k)
+
+
+def sparse_lists(queries: DataFrame, chunks: DataFrame, k: int, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Top-k of several kinds as lists (query_id, list_no, chunk_id, score, rank), from one pass over the texts."""
+    both = scores(queries, chunks, kinds)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("list_no"), F.col(kind).alias("score")) for i, kind in enumerate(kinds))))
+    rows = both.select("query_id", "chunk_id", each.alias("x")).select("query_id", "x.list_no", "chunk_id", "x.score")
+    return top_k(rows, k, ("query_id", "list_no"))
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """An inverted index of chunks (chunk_id, content): postings, terms (with df), and statistics, as tables under `path`.
+
+    Postings are dealt out in ranges of (term, chunk_id) and sorted, so that a frequent term spans many files and a search
+    reads only those row groups that its terms fall into.
+    """
+    root = path.rstrip("/")
+    spark = chunks.sparkSession
+    encode.counted_terms(chunks, "chunk_id", "content").write.mode("overwrite").parquet(f"{root}/counted")
+    counted = spark.read.parquet(f"{root}/counted")
+    counted.where("tf > 0").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
+    encode.document_frequency(counted.where("tf > 0")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
+    encode.statistics_of(counted).write.mode("overwrite").parquet(f"{root}/statistics")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/counted")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def indexed(queries: DataFrame, path: str, k: int, kind: str = "bm25", use_idf: bool = True) -> DataFrame:
+    """`sparse` over an index that write_index has made: no text is read. Up to PUSHED_TERMS terms are a filter on the
+    postings' files; more are a join."""
+    root, spark = path.rstrip("/"), queries.sparkSession
+    terms = query_terms(queries)
+    told = _told(terms)
+    own = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    some = (lambda df: df.where(F.col("term").isin(own))) if len(own) <= PUSHED_TERMS else (lambda df: df.join(told(terms.select("term").distinct()), "term", "left_semi"))
+    weighed = some(read("postings")).join(told(some(read("terms"))), "term").join(F.broadcast(read("statistics")))  # one row
+    return top_k(_scored(weighed, told(terms), (_known_kind(kind),), use_idf).withColumnRenamed(kind, "score"), k)
 
 
 def channels(queries: DataFrame, chunks: DataFrame, k: int = 50, dim: int | None = None, dims: tuple[int, ...] = encode.DIMS) -> dict[str, DataFrame]:
     """The three channels apart: dense, learned sparse, BM25; queries have query_id, query and embedding."""
-    return {"dense": dense(queries, chunks, k, dim, dims), "learned": sparse(queries, chunks, k, "learned"), "bm25": sparse(queries, chunks, k)}
+    both = sparse_lists(queries, chunks, k)
+    of = lambda i: both.where(F.col("list_no") == i).drop("list_no")
+    return {"dense": dense(queries, chunks, k, dim, dims), "learned": of(0), "bm25": of(1)}
+
+
+def three_lists(queries: DataFrame, chunks: DataFrame, k: int = 50, dim: int | None = None, dims: tuple[int, ...] = encode.DIMS) -> DataFrame:
+    """The same channels as one frame of lists 0, 1, 2; the texts are split once."""
+    found = dense(queries, chunks, k, dim, dims).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "score", "rank")
+    return found.unionAll(sparse_lists(queries, chunks, k).select("query_id", F.col("list_no") + 1, "chunk_id", "score", "rank"))
 
 
 def listed(parts: list[DataFrame]) -> DataFrame:
@@ -104,7 +178,7 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int =
     if mode == "sparse":
         return sparse(queries, some, k, sparse_kind)
     if mode == "hybrid":
-        return rrf(listed(list(channels(queries, some, prefetch, dim, dims).values())), top=k)
+        return rrf(three_lists(queries, some, prefetch, dim, dims), top=k)
     raise ValueError(f"unknown mode {mode!r}")
 
 

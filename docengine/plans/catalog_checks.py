@@ -41,14 +41,38 @@ def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(c, 6).alias("confidence"), guardrails.confidence_label(c).alias("label"))
 
 
-@query()
+# Passages, sentences and numbers of the answers in SQL. Letters beyond ASCII become underscores there, which are word characters
+# that no content word has: word boundaries of DuckDB's patterns know ASCII only.
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+WORDS_SQL = "list_filter(list_distinct(list_filter(regexp_extract_all(regexp_replace(lower({0}), '[^\\x00-\\x7F\\p{{P}}\\p{{Z}}\\p{{S}}\\p{{C}}]', '_', 'g'), '\\b[a-z][a-z0-9-]+\\b'), lambda w: length(w) >= 3)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in guardrails.STOP_WORDS) + "], w))"
+NUMBERS_SQL = "regexp_extract_all({0}, '(?i)\\$\\s*\\d[\\d,]*(?:\\.\\d+)?(?:\\s*(?:million|billion|trillion|m|bn|k))?|\\d+(?:\\.\\d+)?\\s*%|\\b\\d{{4}}\\b|\\b\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?\\b|\\b\\d+\\.\\d+\\b')"
+PHRASE_SQL = f"regexp_replace(translate(trim(lower({{0}}), {SPACES}), ',$ ', ''), 'million|billion|trillion|bn|m\\b|k\\b', '', 'g')"
+ANSWERS_SQL = f"""an AS (SELECT row_number() OVER () AS r, conv_id, turn, text AS answer, CASE WHEN conv_id % 2 = 0 THEN 'compliance' ELSE 'credit' END AS module, least(((conv_id + turn) % 20) / 2.0, 1e9) AS score FROM conversations WHERE role = 'assistant'),
+tp AS (SELECT r, d.doc_id, d.doc_id - an.conv_id AS rank, coalesce(d.text, '') AS content FROM an JOIN documents d ON d.doc_id BETWEEN an.conv_id AND an.conv_id + 2),
+hs AS (SELECT DISTINCT r FROM tp),
+se AS (SELECT r, i, trim(s, {SPACES}) AS s FROM (SELECT r, i, ss[i] AS s FROM (SELECT r, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT r, string_split(regexp_replace(answer, '([.!?])\\s+([A-Z"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM an SEMI JOIN hs USING (r)))) WHERE trim(s, {SPACES}) <> ''),
+sw AS (SELECT r, i, {WORDS_SQL.format('s')} AS ws FROM se),
+pw AS (SELECT r, {WORDS_SQL.format('content')} AS ws FROM tp),
+ok AS (SELECT DISTINCT sw.r, sw.i FROM sw JOIN pw USING (r) WHERE len(list_intersect(sw.ws, pw.ws)) >= 3),
+cv AS (SELECT sw.r, count(*) AS n, count(*) FILTER (len(ws) >= 3 AND ok.i IS NULL) AS bad FROM sw LEFT JOIN ok ON ok.r = sw.r AND ok.i = sw.i GROUP BY sw.r),
+c AS (SELECT an.r, conv_id, turn, module, score, answer, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, CASE WHEN coalesce(answer, '') = '' THEN NULL WHEN n IS NULL THEN 1.0 ELSE 1.0 - bad / n END AS coverage FROM an SEMI JOIN hs USING (r) LEFT JOIN cv USING (r)),
+co AS (SELECT r, string_agg({PHRASE_SQL.format('content')}, ' ' ORDER BY rank) AS corpus FROM tp GROUP BY r),
+nu AS (SELECT r, {PHRASE_SQL.format('x')} AS p FROM (SELECT r, unnest({NUMBERS_SQL.format('answer')}) AS x FROM c)),
+ng AS (SELECT r, count(*) FILTER (contains(corpus, p)) AS good, count(*) FILTER (NOT contains(corpus, p)) AS loose FROM nu JOIN co USING (r) WHERE p NOT IN ('', '0') GROUP BY r)"""
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT conv_id, turn, round(coverage, 6)::DOUBLE AS coverage, bad::INT AS n_unsupported FROM c")
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of supported sentences, and how many are not."""
     r = guardrails.check(_answers(spark, sf_dir), F.lit(TODAY).cast("date"))
     return r.select("conv_id", "turn", F.round("citation_coverage", 6).alias("coverage"), F.size("unsupported_sentences").alias("n_unsupported"))
 
 
-@query()
+@query(f"""WITH {ANSWERS_SQL},
+st AS (SELECT r, count(*) FILTER (doc_id % 4 < 3) AS n FROM tp GROUP BY r),
+w AS (SELECT conv_id, turn, coalesce(coverage < 0.7 AND bad > 0, false) AS low, module <> 'compliance' AND coalesce(loose, 0) > 0 AS loose, ({CONFIDENCE}) < 0.4 AS unsure, st.n AS n FROM c LEFT JOIN ng USING (r) JOIN st USING (r))
+SELECT conv_id, turn, array_to_string(list_concat([x for x in [CASE WHEN low THEN 'low_citation_coverage' END, CASE WHEN loose THEN 'ungrounded_numbers' END, CASE WHEN unsure THEN 'low_retrieval_confidence' END] if x IS NOT NULL],
+  list_transform(range(n), lambda i: 'stale_source'), CASE WHEN n >= 3 THEN ['temporal_mismatch'] ELSE [] END), ',') AS codes, low OR loose AS high FROM w""")
 def guardrail_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codes of each answer's warnings."""
     r = guardrails.check(_answers(spark, sf_dir), F.lit(TODAY).cast("date"))
@@ -63,7 +87,7 @@ def number_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_numbers"), F.array_join(F.transform(found, guardrails.number_phrase), ";").alias("numbers"))
 
 
-@query()
+@query(f"WITH {ANSWERS_SQL} SELECT conv_id, turn, coalesce(good, 0)::INT AS grounded_numbers, coalesce(loose, 0)::INT AS n_ungrounded FROM c LEFT JOIN ng USING (r)")
 def number_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of answers that the passages hold, or don't."""
     r = guardrails.check(_answers(spark, sf_dir).withColumn("module", F.lit("credit")), F.lit(TODAY).cast("date"))
@@ -86,10 +110,8 @@ def self_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", passages.self_contained(F.col("text")).alias("self_contained"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn // 2 AS pair, max(text) FILTER (role = 'user') AS u, max(text) FILTER (role = 'assistant') AS a FROM conversations GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) AS k FROM p),
-l AS (SELECT conv_id, pair, concat_ws(chr(10), CASE WHEN coalesce(u, '') <> '' THEN 'USER: ' || u END, CASE WHEN coalesce(a, '') <> '' THEN 'ASSISTANT: ' || a END) AS line FROM k WHERE k <= 6)
-SELECT conv_id, coalesce(nullif(string_agg(line, chr(10) ORDER BY pair) FILTER (line <> ''), ''), '(none)') AS history FROM l GROUP BY conv_id""")
+@query("""WITH l AS (SELECT conv_id, turn // 2 AS pair, turn, role, CASE role WHEN 'user' THEN 'USER: ' ELSE 'ASSISTANT: ' END || text AS line, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 2 DESC) AS k FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, coalesce(h, '(none)') AS history FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY pair, role = 'assistant', turn) AS h FROM l WHERE k <= 6 AND length(line) > CASE role WHEN 'user' THEN 6 ELSE 11 END GROUP BY conv_id) USING (conv_id)""")
 def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q7: the last six exchanges of each conversation."""
     return transform.history_text(table(spark, sf_dir, "conversations"))
@@ -130,11 +152,11 @@ def fetch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.manifest(table(spark, sf_dir, "orders").select((F.col("o_orderstatus") != "P").alias("success"), (F.col("o_orderstatus") == "O").alias("skipped"), F.col("o_orderkey").alias("n_bytes")))
 
 
-@query("SELECT vec_id, (CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END)::INT AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+@query("SELECT o_orderkey AS key, 'order' AS kind, o_custkey::BIGINT AS value FROM orders UNION ALL SELECT vec_id, 'vector', label::BIGINT FROM embeddings ANTI JOIN orders ON vec_id = o_orderkey")
 def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert; new rows replace those with their ids."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return stores.merged(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int")), "vec_id")
+    """An upsert of one whole table into another; new rows replace those with their keys."""
+    present = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.lit("vector").alias("kind"), F.col("label").cast("long").alias("value"))
+    return stores.merged(present, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("order").alias("kind"), F.col("o_custkey").cast("long").alias("value")), "key")
 
 
 @query("SELECT module, chunk_strategy, module || '_' || chunk_strategy AS collection FROM (VALUES ('compliance', 'regulatory_boundary'), ('compliance', 'semantic'), ('compliance', 'hierarchical'), ('credit', 'financial_statement'), ('credit', 'semantic'), ('credit', 'narrative_section')) t(module, chunk_strategy)")

@@ -39,9 +39,8 @@ def _fused(part: str, k: int, extra: str = "") -> str:
 SELECT {RANKED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= {k}"""
 
 
-def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, c = benchmark_queries(spark, sf_dir), whole_chunks(spark, sf_dir)
-    return retrieve.sparse(q, c, 50, "learned"), retrieve.sparse(q, c, 50)
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.sparse_lists(benchmark_queries(spark, sf_dir), whole_chunks(spark, sf_dir), 50)
 
 
 @query(f"WITH {POSTINGS_SQL}, {_top('bm25', 'b', 10)} SELECT {RANKED} FROM b")
@@ -99,13 +98,13 @@ def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CHANNELS_SQL}, {NORMS_SQL}, " + _fused("1.0 / (60 + rank)", 10))
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal-rank fusion of two channels."""
-    return fusion.rrf(retrieve.listed(list(_channels(spark, sf_dir))), top=10)
+    return fusion.rrf(_channels(spark, sf_dir), top=10)
 
 
 @query(f"WITH {CHANNELS_SQL}, {NORMS_SQL}, " + _fused("CASE WHEN list_no = 0 THEN 0.7 * norm ELSE 0.3 * norm END", 10))
 def convex_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex combination of two channels."""
-    return fusion.convex(*_channels(spark, sf_dir), 0.7, 10)
+    return fusion.convex_lists(_channels(spark, sf_dir), 0.7, 10)
 
 
 QUERY_FORMS = """CASE item_id % 4 WHEN 0 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 1 THEN array_to_string(string_split(text, ' ')[1:10], ' ') WHEN 2 THEN text ELSE 'Item 7A ' || array_to_string(string_split(text, ' ')[1:6], ' ') END"""
@@ -134,7 +133,7 @@ ROUTE = "CASE strategy WHEN 'sparse' THEN CASE WHEN list_no = 1 THEN score END W
 @query(f"WITH {CHANNELS_SQL}, {NORMS_SQL}, {STRATEGY_SQL}, " + _fused(ROUTE, 10, "JOIN ch USING (query_id)"))
 def router_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routed fusion; all strategies in one plan."""
-    return fusion.routed(_forms(spark, sf_dir), *_channels(spark, sf_dir), 10)
+    return fusion.routed_lists(_forms(spark, sf_dir), _channels(spark, sf_dir), 10)
 
 
 @query(f"""WITH {CHANNELS_SQL}, {NORMS_SQL},
@@ -143,13 +142,13 @@ f AS (SELECT alpha::DOUBLE AS alpha, query_id, chunk_id, round(sum(CASE WHEN lis
 SELECT alpha, {RANKED} FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 5""")
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine weights over channels that are read once."""
-    return fusion.alpha_sweep(*_channels(spark, sf_dir), sweeps.ALPHAS, 5)
+    return fusion.alpha_sweep(_channels(spark, sf_dir), sweeps.ALPHAS, 5)
 
 
 @query(f"WITH {CHANNELS_SQL}, u AS (SELECT *, 0 AS list_no FROM a UNION ALL SELECT *, 1 FROM b), f AS (SELECT query_id, chunk_id, max(score) AS score, min(list_no * 1000000 + rank) AS first FROM u GROUP BY ALL) SELECT {RANKED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 30")
 def best_of_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of channels with each chunk's best score."""
-    return fusion.keep_best(retrieve.listed(list(_channels(spark, sf_dir))), 30)
+    return fusion.keep_best(_channels(spark, sf_dir), 30)
 
 
 @query()
@@ -205,7 +204,12 @@ def pair_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.rerank(_candidates(spark, sf_dir), "cross_encoder", 5).select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+@query(f"""WITH {POSTINGS_SQL}, {_top('bm25', 'b', 30)},
+x AS (SELECT b.query_id, b.chunk_id, b.rank AS r0, list_distinct({WORDS.format('q.text')}) AS qw, {WORDS.format('d.text')} AS cw FROM b JOIN benchmark q ON q.item_id = b.query_id JOIN documents d ON d.doc_id = b.chunk_id),
+y AS (SELECT query_id, chunk_id, r0, len(list_intersect(qw, cw)) / greatest(len(qw), 1) / (1 + ln(1 + len(cw)::DOUBLE) / 20) AS p FROM x),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 6) DESC, r0, chunk_id) AS r1 FROM y) WHERE r1 <= 10),
+two AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-(4 * p - 1))), 6) AS score, r1 FROM one)
+SELECT query_id, chunk_id, score::DOUBLE AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1, chunk_id) AS rank FROM two) WHERE rank <= 5""")
 def rerank_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: two rerankers in a row."""
     return rerank.cascade(_candidates(spark, sf_dir, 30), [("cross_encoder", 10), ("monot5", 5)]).select("query_id", "chunk_id", "score", "rank")
@@ -262,13 +266,36 @@ def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("query_id", "transformed_queries", F.transform("top", lambda c: c["chunk_id"]).alias("chunks"), "confidence", "confidence_label")
 
 
-@query()
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every fiftieth vector as a query, all other vectors as chunks of their label's document, and the labels' passages: a
+    vector is relevant for a query of its label."""
+    c = vector_chunks(spark, sf_dir).where("chunk_id % 50 <> 0").select("chunk_id", "embedding", F.col("label").alias("doc_id"), F.lit(0).alias("char_start"), F.lit(100).alias("char_end"))
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return q, c, q.select("query_id", F.col("label").alias("source_doc_id"), F.lit(0).alias("char_start"), F.lit(100).alias("char_end"))
+
+
+def _judged_sql(lists: str, key: str) -> str:
+    """Metrics of ranked lists (key, query_id, rank, rel) in SQL."""
+    return f"""h AS (SELECT *, sum(rel) OVER (PARTITION BY {key}, query_id ORDER BY rank) AS hits FROM ({lists})),
+pq AS (SELECT {key}, query_id, sum(rel)::BIGINT AS n_rel, sum(rel / log2(rank + 1)) AS dcg, coalesce(1.0 / min(rank) FILTER (rel = 1), 0) AS mrr, coalesce(avg(hits / rank) FILTER (rel = 1), 0) AS ap,
+  {', '.join(f'coalesce(max(rel) FILTER (rank <= {n}), 0) AS r{n}' for n in (1, 3, 5, 10))} FROM h GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n_rel > 0 THEN dcg / list_sum(list_transform(range(1, n_rel + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg FROM pq)
+SELECT {key}, count(*)::BIGINT AS n_queries, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(ap), 6) AS ap, {', '.join(f'round(avg(r{n}), 6) AS recall_{n}' for n in (1, 3, 5, 10))} FROM m GROUP BY {key}"""
+
+
+def _unit_sql(dim: int) -> str:
+    return f"SELECT vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM (SELECT vec_id, label, embedding[1:{dim}]::DOUBLE[] AS v FROM embeddings)"
+
+
+def _dense_list_sql(dim: int, k: int) -> str:
+    return f"""SELECT {dim} AS dim, q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.v, c.v), 6) AS score, (q.label = c.label)::INT AS rel,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, c.v), 6) DESC, c.vec_id) AS rank FROM ({_unit_sql(dim)}) q, ({_unit_sql(dim)}) c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0 QUALIFY rank <= {k}"""
+
+
+@query("WITH " + _judged_sql(" UNION ALL ".join(f"({_dense_list_sql(d, 10)})" for d in encode.DIMS), "dim"))
 def dimension_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense metrics for each width."""
-    q = encode.embed(benchmark_queries(spark, sf_dir), "query", prompt=encode.QUERY_PROMPT)
-    c = encode.embed(whole_chunks(spark, sf_dir), "content")
-    sources = bm25_topk(spark, sf_dir).where("rank = 1").select("query_id", F.col("chunk_id").alias("source_doc_id"), F.lit(0).alias("char_start"), F.lit(200).alias("char_end"))
-    return sweeps.dimension_grid(q, c, sources)
+    """Dense metrics for each width, judged by the vectors' labels."""
+    return sweeps.dimension_grid(*_labelled(spark, sf_dir))
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,16 +307,19 @@ def chunking_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """strategies' chunks, each retrieved among its own, by their metrics."""
     from docengine.plans.catalog_text import financial_chunks, narrative_chunks
 
-    chunks = financial_chunks(spark, sf_dir).unionByName(narrative_chunks(spark, sf_dir))
+    chunks = {"financial_statement": financial_chunks(spark, sf_dir), "narrative_section": narrative_chunks(spark, sf_dir)}
     return sweeps.strategy_grid(benchmark_queries(spark, sf_dir), chunks, _sources(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH l AS (SELECT 0 AS list_no, * FROM ({_dense_list_sql(64, 50)}) UNION ALL SELECT 1, * FROM ({_dense_list_sql(8, 50)})),
+u AS (SELECT *, CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM l WINDOW w AS (PARTITION BY query_id, list_no)),
+f AS (SELECT (i / 10.0)::DOUBLE AS alpha, query_id, chunk_id, any_value(rel) AS rel, round(sum(CASE WHEN list_no = 0 THEN (i / 10.0)::DOUBLE * norm ELSE (1 - (i / 10.0)::DOUBLE) * norm END), 6) AS score, min(list_no * 1000000 + rank) AS first FROM u, range(1, 10) t(i) GROUP BY ALL),
+{_judged_sql("SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f QUALIFY rank <= 10", "alpha")}""")
 def alpha_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics for each weight."""
-    q = encode.embed(benchmark_queries(spark, sf_dir), "query", prompt=encode.QUERY_PROMPT)
-    c = encode.embed(whole_chunks(spark, sf_dir), "content")
-    return sweeps.alpha_grid(q, c, _sources(spark, sf_dir).withColumn("source_doc_id", F.col("source_doc_id").cast("long")))
+    """Metrics for each weight between whole vectors and short ones, judged by the vectors' labels."""
+    q, c, passages = _labelled(spark, sf_dir)
+    lists = fusion.two_lists(retrieve.dense(q, c, 50), retrieve.dense(q, c, 50, 8))
+    return sweeps.alpha_grid(lists, c, passages)
 
 
 @query()

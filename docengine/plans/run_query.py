@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.operators import encode, guardrails, rerank, retrieve, transform
@@ -31,7 +31,8 @@ def run(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFr
     order), answer, and the guardrails' columns.
 
     Chunks have chunk_id, doc_id, content, embedding and whatever else the checks read. Answers come from the responses
-    table; a query without an answer has a null one. Variants are fused before reranking, which sees the rewritten query.
+    table; a query without an answer has a null one. Variants are fused before reranking, which sees the rewritten query;
+    a listwise reranker's answers come from the responses table too.
     """
     q = queries.where(encode.clean_query(F.col("query")) != "").withColumn("query_id", F.col("query_id").cast("string"))
     if "history" in q.columns:
@@ -46,7 +47,10 @@ def run(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFr
     vectors = encode.embed(variants, "query", embedder=embedder, prompt=encode.QUERY_PROMPT)
     found = retrieve.fan_out(vectors, chunks, config.method, config.top_k, dim=config.dim)
     candidates = found.join(chunks.drop("embedding"), "chunk_id").join(asked, "query_id")
-    best = rerank.rerank(candidates, config.reranker, config.final_k, responses=None)
+    said = None
+    if config.reranker == "rankgpt" and responses is not None:
+        said = answered(rerank.listwise_prompt(candidates), responses).where("response is not null").select("query_id", "response")
+    best = rerank.rerank(candidates, config.reranker, config.final_k, responses=said)
     for c in ("section_title", "section_number", "effective_date", "filing_date"):
         if c not in best.columns:
             best = best.withColumn(c, F.lit("") if c.startswith("section") else F.lit(None).cast("string"))
@@ -65,12 +69,40 @@ def run(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFr
     return guardrails.check(rows.withColumn("module", F.lit(config.module)))
 
 
-def log_rows(results: DataFrame, config: Config) -> DataFrame:
+def timed(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFrame | None = None, embedder=encode.hashing_embedder) -> tuple[list, dict[str, float]]:
+    """The rows of `run` for a batch of queries that fits the driver, and the seconds of each stage and in total.
+
+    One plan does all stages, so a stage's time is that of the plan up to it less that of the plan before: the plans are run
+    in turn. For batches of any size use `run`, whose times are the job's.
+    """
+    from dataclasses import replace
+    from time import perf_counter
+
+    took, so_far = {}, 0.0
+    for name, part in (("retrieve", replace(config, transform="none", reranker="none", generate=False)), ("transform", replace(config, reranker="none", generate=False)), ("rerank", replace(config, generate=False)), ("generate", config)):
+        begun = perf_counter()
+        rows = run(queries, chunks, part, responses, embedder).collect()
+        total = perf_counter() - begun
+        took[name] = round(max(total - so_far, 0.0), 3)
+        so_far = total
+    return rows, took | {"total": round(so_far, 3)}
+
+
+def timing_line(timings: Column) -> Column:
+    """A map of seconds as one line: `total 1.20 s | retrieve 0.70 s | ...`, the total first, the others by name."""
+    rest = F.array_sort(F.filter(F.map_keys(timings), lambda k: k != "total"))
+    shown = lambda k: F.format_string("%s %.2f s", k, F.try_element_at(timings, k))
+    head = F.when(F.map_contains_key(timings, F.lit("total")), F.array(shown(F.lit("total")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(head, F.transform(rest, shown)), " | ")
+
+
+def log_rows(results: DataFrame, config: Config, timings: dict[str, float] | None = None) -> DataFrame:
     """Results in the query log's shape."""
     settings = F.create_map(*(F.lit(str(x)) for kv in asdict(config).items() for x in kv))
+    times = F.create_map(*(F.lit(x) for kv in (timings or {}).items() for x in kv)).cast("map<string,double>")
     return results.select(
         "query_id", "query", settings.alias("config"), (F.col("transformed_queries") if config.transform != "none" else F.array().cast("array<string>")).alias("transformed_queries"),
-        F.create_map().cast("map<string,double>").alias("timings"), "top", "answer", guardrails.as_record(results).alias("report"),
+        times.alias("timings"), "top", "answer", guardrails.as_record(results).alias("report"),
     )
 
 
