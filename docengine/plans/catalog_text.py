@@ -100,24 +100,79 @@ def regulatory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(structured(spark, sf_dir), "compliance", "regulatory_boundary")
 
 
-@query()
+def _packed_ctes(limits: tuple[int, int]) -> str:
+    """From long (doc_id, char_start, raw) the packed paragraphs lc (doc_id, char_start, c)."""
+    return rf"""lp AS (SELECT doc_id, char_start, string_split_regex(raw, '\n\s*\n') AS ps, regexp_extract_all(raw, '\n\s*\n') AS gs FROM long),
+li2 AS (SELECT doc_id, char_start, i, ps[i] AS piece, char_start + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0)::INT + coalesce(list_sum(list_transform(gs[1:i - 1], lambda x: length(x))), 0)::INT AS p0 FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM lp)),
+lu AS (SELECT doc_id, char_start, list({{'t': {TRIMMED.format('piece')}, 's': (p0 + length(piece) - length(l{TRIMMED.format('piece')}))::INT, 'e': (p0 + length(piece))::INT, 'n': {TOKENS_SQL.format('piece')}::INT}} ORDER BY i) FILTER ({TRIMMED.format('piece')} <> '') AS us FROM li2 GROUP BY ALL),
+lf AS (SELECT doc_id, char_start, {PACK_SQL.format(units='us', least=limits[0], most=limits[1])} AS x FROM lu WHERE us IS NOT NULL),
+lc AS (SELECT doc_id, char_start, unnest({CLOSED_SQL}) AS c FROM lf)"""
+
+
+KIND_SQL = "CASE " + " ".join(f"WHEN section_number = '{k}' THEN '{v}'" for k, v in chunking.ITEM_TYPES.items()) + " " + " ".join("WHEN contains(lower(heading), '{}') THEN '{}'".format(w.replace("'", "''"), kind) for kind, words in chunking.KEYWORD_TYPES for w in words) + " ELSE 'narrative' END"
+SECTIONS_SQL = f"""{STRUCTURED_SQL},
+se AS (SELECT doc_id, full_text, heading, section_number, char_start, coalesce(lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start), length(full_text)) AS char_end FROM sec),
+sn AS (SELECT *, substr(full_text, char_start + 1, char_end - char_start) AS raw, {TRIMMED.format('substr(full_text, char_start + 1, char_end - char_start)')} AS content, {TOKENS_SQL.format('substr(full_text, char_start + 1, char_end - char_start)')}::INT AS n FROM se),
+tab AS (SELECT doc_id, full_text, line, p0 AS ts, p0 + length(line) AS te FROM li WHERE (i - 1) % 7 = 3)"""
+
+
+def _chunk_rows_sql(every: str, strategy: str, module: str) -> str:
+    """Chunk rows of every (doc_id, o, s, e, content, n, heading, section_number, path, level, has_table, kind), in the order of o and s."""
+    return f"""num AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY o, s) - 1)::INT AS chunk_index FROM ({every}))
+SELECT {UUID_SQL.format(name=f"num.doc_id || '|{strategy}|' || chunk_index::VARCHAR")} AS chunk_id, num.doc_id AS doc_id, 'Document ' || num.doc_id AS doc_title, lang AS doc_type, '{module}' AS module, '{strategy}' AS chunk_strategy, chunk_index,
+  content, n::INT AS content_tokens, s::INT AS char_start, e::INT AS char_end, heading AS section_title, section_number, path AS hierarchy_path, NULL::VARCHAR AS parent_chunk_id, level AS chunk_level, has_table AS contains_table, kind AS section_type,
+  {META_SQL.replace('jurisdiction', 'lang AS jurisdiction').replace('company_ticker', 'source AS company_ticker')} FROM num JOIN documents d ON d.doc_id::VARCHAR = num.doc_id"""
+
+
+HIERARCHICAL_SQL = f"""WITH {SECTIONS_SQL},
+long AS (SELECT t.doc_id, 0 AS char_start, full_text AS raw FROM t ANTI JOIN sec USING (doc_id)),
+{_packed_ctes(chunking.REGULATORY)},
+cutp AS (SELECT *, CASE WHEN n > {chunking.PARENT_MAX} THEN substr(content, 1, floor(length(content) * ({float(chunking.PARENT_MAX)}::DOUBLE / n))::INT) || chr(10) || '[...truncated for parent context]' ELSE content END AS stored FROM sn WHERE content <> ''),
+""" + _chunk_rows_sql(
+    f"""SELECT doc_id, char_start AS o, char_start AS s, char_end AS e, stored AS content, CASE WHEN n > {chunking.PARENT_MAX} THEN {TOKENS_SQL.format('stored')} ELSE n END AS n, heading, section_number, heading AS path, 'parent' AS level, false AS has_table, '' AS kind FROM cutp
+  UNION ALL SELECT doc_id, char_start, c.s, c.e, c.content, c.n, '', '', '', 'leaf', false, '' FROM lc""", "hierarchical", "compliance")
+FINANCIAL_CTES = f"""{SECTIONS_SQL},
+tb AS (SELECT *, lag(te) OVER (PARTITION BY doc_id ORDER BY ts) AS before FROM tab),
+gaps AS (SELECT doc_id, full_text, coalesce(before, 0) AS a, ts AS b FROM tb UNION ALL SELECT t.doc_id, t.full_text, coalesce(m, 0), length(t.full_text) FROM t LEFT JOIN (SELECT doc_id, max(te) AS m FROM tab GROUP BY doc_id) USING (doc_id)),
+long AS (SELECT doc_id, a AS char_start, substr(full_text, a + 1, b - a) AS raw FROM gaps WHERE b > a),
+{_packed_ctes(chunking.FINANCIAL)},
+parts AS (SELECT doc_id, c.s AS s, c.e AS e, c.content AS content, c.n AS n, false AS has_table FROM lc UNION ALL SELECT doc_id, ts, te, line, {TOKENS_SQL.format('line')}, true FROM tab),
+placed AS (SELECT parts.*, coalesce(se.heading, '') AS heading, coalesce(se.section_number, '') AS section_number FROM parts LEFT JOIN se ON se.doc_id = parts.doc_id AND se.char_start <= parts.s AND parts.s < se.char_end),
+kinds AS (SELECT *, {KIND_SQL} AS k FROM placed)"""
+FINANCIAL_ROWS = "SELECT doc_id, s AS o, s, e, content, n, heading, section_number, heading AS path, 'leaf' AS level, has_table, CASE WHEN has_table AND k = 'narrative' THEN 'table' ELSE k END AS kind FROM kinds"
+NARRATIVE_CTES = f"""{SECTIONS_SQL},
+long AS (SELECT doc_id, char_start, raw FROM sn WHERE n > {chunking.NARRATIVE[1]} UNION ALL SELECT t.doc_id, -1, full_text FROM t ANTI JOIN sec USING (doc_id)),
+{_packed_ctes(chunking.NARRATIVE)},
+parts AS (SELECT doc_id, char_start AS o, char_start AS s, char_end AS e, content, n FROM sn WHERE n <= {chunking.NARRATIVE[1]} UNION ALL SELECT doc_id, char_start, c.s, c.e, c.content, c.n FROM lc WHERE char_start >= 0
+  UNION ALL SELECT doc_id, char_start, c.s + 1, c.e + 1, c.content, c.n FROM lc WHERE char_start < 0),
+kinds AS (SELECT parts.*, coalesce(heading, '') AS heading, coalesce(section_number, '') AS section_number, o >= 0 AND EXISTS (FROM tab WHERE tab.doc_id = parts.doc_id AND NOT (parts.e <= ts OR parts.s >= te)) AS has_table FROM parts LEFT JOIN se ON se.doc_id = parts.doc_id AND se.char_start = parts.o)"""
+NARRATIVE_ROWS = f"SELECT doc_id, o, s, e, content, n, heading, section_number, trim(concat_ws(' ', section_number, heading)) AS path, 'leaf' AS level, has_table, {KIND_SQL} AS kind FROM kinds"
+
+
+@query(HIERARCHICAL_SQL)
 def hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent and child chunks."""
     return chunking.chunk_documents(structured(spark, sf_dir), "compliance", "hierarchical")
 
 
-@query()
+@query(f"WITH {FINANCIAL_CTES}, " + _chunk_rows_sql(FINANCIAL_ROWS, "financial_statement", "credit"))
 def financial_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: tables whole, narrative between them packed."""
     return chunking.chunk_documents(structured(spark, sf_dir), "credit", "financial_statement")
 
 
-@query()
+@query(f"WITH {NARRATIVE_CTES}, " + _chunk_rows_sql(NARRATIVE_ROWS, "narrative_section", "credit"))
 def narrative_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered items packed."""
     return chunking.chunk_documents(structured(spark, sf_dir), "credit", "narrative_section")
 
 
+def _statistics_sql(ctes: str, rows: str, strategy: str) -> str:
+    return f"""(WITH {ctes}, x AS ({rows}), pd AS (SELECT doc_id, count(*) AS n, sum(n) AS t, min(n) AS lo, max(n) AS hi, count(*) FILTER (has_table) AS tables FROM x GROUP BY doc_id), ks AS (SELECT kind, count(*) AS c FROM x GROUP BY kind)
+SELECT 'credit' AS module, '{strategy}' AS chunk_strategy, sum(n)::BIGINT AS n_chunks, round(avg(n), 6) AS mean_per_doc, min(n)::BIGINT AS min_per_doc, max(n)::BIGINT AS max_per_doc, min(lo)::INT AS min_tokens, max(hi)::INT AS max_tokens, round(sum(t) / sum(n), 6) AS mean_tokens,
+  sum(tables)::BIGINT AS n_with_table, (SELECT string_agg(kind || ':' || c, ',' ORDER BY c DESC, kind) FROM ks) AS section_types FROM pd)"""
+
+
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries where neighbouring sentences differ."""
@@ -130,16 +185,26 @@ def semantic_credit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(structured(spark, sf_dir), "credit", "semantic", encode.hashing_embedder)
 
 
-@query()
+@query(_statistics_sql(FINANCIAL_CTES, FINANCIAL_ROWS, "financial_statement") + " UNION ALL " + _statistics_sql(NARRATIVE_CTES, NARRATIVE_ROWS, "narrative_section"))
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of two strategies' chunks."""
     return chunking.statistics(financial_chunks(spark, sf_dir).unionByName(narrative_chunks(spark, sf_dir)))
 
 
-@query("SELECT 0::BIGINT AS negative, 0::BIGINT AS beyond, 0::BIGINT AS reversed")
+@query("""WITH c AS (SELECT length(coalesce(text, '')) AS n, (doc_id % 5)::INT - 1 AS s, (length(coalesce(text, '')) + 2 - doc_id % 4)::INT AS e FROM documents)
+SELECT count(*) FILTER (s < 0) AS negative, count(*) FILTER (e > n) AS beyond, count(*) FILTER (s > e) AS reversed FROM c""")
 def chunk_offset_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """offsets out of bounds; there must be none."""
-    return chunking.offset_errors(regulatory_chunks(spark, sf_dir), structured(spark, sf_dir))
+    """offsets out of bounds, among chunks with wrong ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("full_text"))
+    wrong = docs.select("doc_id", (F.col("doc_id") % 5 - 1).cast("int").alias("char_start"), (F.length("full_text") + 2 - F.col("doc_id") % 4).cast("int").alias("char_end"))
+    return chunking.offset_errors(wrong, docs)
+
+
+@query("SELECT 0::BIGINT AS negative, 0::BIGINT AS beyond, 0::BIGINT AS reversed")
+def chunk_offsets_of_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """no strategy's chunks have such offsets."""
+    parts = [f(spark, sf_dir).select("doc_id", "char_start", "char_end") for f in (regulatory_chunks, hierarchical_chunks, financial_chunks, narrative_chunks)]
+    return chunking.offset_errors(parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]), structured(spark, sf_dir))
 
 
 @query()
@@ -163,30 +228,58 @@ def passage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.candidates(_documents(spark, sf_dir))
 
 
-@query()
+# Sentences of twenty tokens or more as passages: (doc_id, doc_type, first_sentence, ...), and the sample of them, in SQL.
+LONG_SENTENCES_SQL = f"{SENTENCES_SQL}, ls AS (SELECT s.doc_id, lang AS doc_type, (i - 1)::INT AS first_sentence, s.char_start::INT AS char_start, s.char_end::INT AS char_end, {TOKENS_SQL.format('sentence')}::INT AS n_tokens, sentence AS passage_text FROM s JOIN documents USING (doc_id) WHERE {TOKENS_SQL.format('sentence')} >= 20)"
+PICKED_SQL = f"""{LONG_SENTENCES_SQL},
+dr AS (SELECT *, sha1('42|' || doc_id || '|' || first_sentence) AS draw FROM ls),
+ow AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY draw, first_sentence) <= 3),
+tu AS (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY draw, doc_id, first_sentence) AS turn FROM ow QUALIFY turn <= 40),
+pi AS (SELECT *, 'compliance_p' || lpad((row_number() OVER (ORDER BY turn, sha1(concat_ws('|', '42', doc_type)), doc_type) - 1)::VARCHAR, 3, '0') AS passage_id FROM tu QUALIFY row_number() OVER (ORDER BY turn, sha1(concat_ws('|', '42', doc_type)), doc_type) <= 40)"""
+
+
+def _long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("lang").alias("doc_type"), F.posexplode_outer(X.counted(X.sentence_spans(F.coalesce("text", F.lit(""))))).alias("first_sentence", "s")).where("s.n_tokens >= 20")
+    return rows.select("doc_id", "doc_type", "first_sentence", "s.char_start", "s.char_end", "s.n_tokens", F.col("s.text").alias("passage_text"))
+
+
+@query(f"WITH {PICKED_SQL} SELECT passage_id, doc_id, doc_type, char_start, char_end, n_tokens, passage_text FROM pi")
 def passage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty passages, types in turn."""
-    return passages.sample(passage_candidates(spark, sf_dir), 40, "compliance")
+    """Forty passages, types in turn, at most three of a document, among all long sentences."""
+    return passages.sample(_long_sentences(spark, sf_dir), 40, "compliance").select("passage_id", "doc_id", "doc_type", "char_start", "char_end", "n_tokens", "passage_text")
 
 
-@query()
+@query(f"WITH {LONG_SENTENCES_SQL}, pd AS (SELECT doc_type, doc_id, count(*) AS n FROM ls GROUP BY ALL) SELECT doc_type, sum(n)::BIGINT AS n_passages, count(*)::BIGINT AS n_docs, max(n)::BIGINT AS max_per_doc FROM pd GROUP BY doc_type")
 def passage_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3."""
-    return passages.distribution(passage_candidates(spark, sf_dir))
+    return passages.distribution(_long_sentences(spark, sf_dir))
 
 
-@query()
+PAIRS_SQL = f"""{PICKED_SQL},
+wd AS (SELECT pi.*, (SELECT list(w ORDER BY k) FROM (SELECT w, min(k) AS k FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT list_filter(string_split_regex(lower(passage_text), '[^a-z0-9]+'), lambda w: w <> '') AS ws)) GROUP BY w)) AS ws FROM pi),
+qp AS (SELECT passage_id, {UUID_SQL.format(name="passage_id || '|q' || k::VARCHAR")} AS qa_id, 'What is said of ' || array_to_string(ws[1 + k:3 + k], ' ') || '?' AS question, CASE k WHEN 0 THEN 'factual' ELSE 'analytic' END AS question_type, CASE WHEN n_tokens > 30 THEN 'hard' ELSE 'easy' END AS difficulty, ws[1 + k:2 + k] AS key_concepts, passage_text, char_start, char_end, doc_id FROM wd, range(2) t(k)),
+pr AS (SELECT qa_id, tr AS track, 'compliance' AS module, question, question_type, difficulty, key_concepts, passage_id AS source_passage_id, passage_text AS source_passage_text, CASE WHEN tr = 'A' THEN char_start END AS char_start, CASE WHEN tr = 'A' THEN char_end END AS char_end,
+  CASE WHEN tr = 'A' THEN doc_id END AS source_doc_id, CASE WHEN tr = 'B' THEN '' END AS reference_answer, CASE WHEN tr = 'B' THEN 'default' END AS reference_answer_model FROM qp, (VALUES ('A'), ('B')) v(tr))"""
+
+
+@query(f"WITH {PAIRS_SQL} FROM pr")
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question pairs from template responses."""
+    """Question pairs of both tracks from template responses."""
     return passages.question_pairs(*_asked(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {PAIRS_SQL} SELECT 'track' AS measure, track AS value, count(*)::BIGINT AS n FROM pr GROUP BY track UNION ALL SELECT 'question_type', question_type, count(*) FROM pr WHERE track = 'A' GROUP BY question_type UNION ALL SELECT 'difficulty', difficulty, count(*) FROM pr WHERE track = 'A' GROUP BY difficulty")
 def qa_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4."""
     return passages.qa_distribution(question_pairs(spark, sf_dir))
 
 
+@query(f"WITH {PAIRS_SQL} SELECT qa_id, question, char_start FROM pr WHERE track = 'A'")
+def track_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the pairs of one track."""
+    return passages.track(question_pairs(spark, sf_dir), "A").select("qa_id", "question", "char_start")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.array().cast(f"array<{kind}>")
     docs = table(spark, sf_dir, "documents")
@@ -194,18 +287,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Passages, and a deterministic stand-in for a model's questions about them."""
+    """Passages, and a deterministic stand-in for a model's questions about them: two, a blank one, and one beyond the limit."""
     picked = passage_sample(spark, sf_dir).withColumn("module", F.lit("compliance"))
     words = F.array_distinct(encode.terms(F.col("passage_text")))
-    item = F.struct(F.concat(F.lit("What is said of "), F.array_join(F.slice(words, 1, 3), " "), F.lit("?")).alias("question"), F.lit("factual").alias("question_type"), F.lit("easy").alias("difficulty"), F.slice(words, 1, 2).alias("key_concepts"))
-    return picked, picked.select("passage_id", F.to_json(F.array(item)).alias("response"))
+    level = F.when(F.col("n_tokens") > 30, "hard").otherwise("easy").alias("difficulty")
+
+    def item(k: int, kind: str):
+        return F.struct(F.concat(F.lit("What is said of "), F.array_join(F.slice(words, 1 + k, 3), " "), F.lit("?")).alias("question"), F.lit(kind).alias("question_type"), level, F.slice(words, 1 + k, 2).alias("key_concepts"))
 
+    blank = F.struct(F.lit("  ").alias("question"), F.lit("").alias("question_type"), level, F.slice(words, 1, 1).alias("key_concepts"))
+    return picked, picked.select("passage_id", F.to_json(F.array(item(0, "factual"), blank, item(1, "analytic"), item(2, "factual"))).alias("response"))
 
-@query(f"""WITH {SENTENCES_SQL} SELECT doc_id, count(*)::BIGINT AS n FROM s JOIN (SELECT doc_id AS d, length(text) // 2 AS pos FROM documents) ON d = doc_id WHERE char_start <= pos AND pos < char_end GROUP BY doc_id""")
+
+@query(f"""WITH {SENTENCES_SQL} SELECT doc_id, char_start::INT AS char_start, char_end::INT AS char_end, sentence FROM s JOIN (SELECT doc_id AS d, length(text) // 2 AS pos FROM documents) ON d = doc_id WHERE char_start <= pos AND pos < char_end""")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence at the middle of each document, found within the row."""
     df = table(spark, sf_dir, "documents").select("doc_id", S.containing(X.sentence_spans(F.coalesce("text", F.lit(""))), F.floor(F.length("text") / 2).cast("int")).alias("s"))
-    return df.where("s is not null").select("doc_id", F.lit(1).cast("long").alias("n"))
+    return df.where("s is not null").select("doc_id", "s.char_start", "s.char_end", F.col("s.text").alias("sentence"))
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT qa_id, count(*)::BIGINT AS n_records, sum(CASE WHEN track = 'A' THEN 12 ELSE 13 END)::BIGINT AS n_fields FROM pr GROUP BY qa_id""")
+def qa_record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fields question pairs have as JSON: all but the nulls, and always both offsets."""
+    keys = F.size(F.json_object_keys("record"))
+    return passages.qa_records(question_pairs(spark, sf_dir)).groupBy("qa_id").agg(F.count("*").alias("n_records"), F.sum(keys).alias("n_fields"))
 
 
 @query()
@@ -214,11 +319,12 @@ def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.qa_records(question_pairs(spark, sf_dir))
 
 
-@query(r"""WITH t AS (SELECT doc_id, length(text) AS n FROM documents), a AS (SELECT doc_id, n, i * 100 AS s, least(i * 100 + 100, n) AS e FROM (SELECT doc_id, n, unnest(range(0, n // 100 + 1)) AS i FROM t) WHERE i * 100 < n)
-SELECT doc_id, s::INT AS char_start, (greatest(0, least(e, 250) - greatest(s, 150)))::INT AS overlap, NOT (e <= 150 OR s >= 250) AS overlaps FROM a""")
+@query(r"""WITH t AS (SELECT doc_id, length(text) AS n, doc_id % 400 AS a, doc_id % 400 + 90 AS b FROM documents), a AS (SELECT *, i * 100 AS s, least(i * 100 + 100, n) AS e FROM (SELECT *, unnest(range(0, n // 100 + 1)) AS i FROM t) WHERE i * 100 < n)
+SELECT doc_id, s::INT AS char_start, (greatest(0, least(e, b) - greatest(s, a)))::INT AS overlap, NOT (e <= a OR s >= b) OR NOT (e <= 3 * a OR s >= 3 * a + 5) AS overlaps, (s >= a AND s < b) OR (s >= 3 * a AND s < 3 * a + 5) AS inside FROM a""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a hundred characters against the range from 150 to 250."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(100))).alias("char_start")).where("char_start < n")
-    end = F.least(F.col("char_start") + 100, F.col("n"))
-    spans = F.array(F.struct(F.lit(150).alias("char_start"), F.lit(250).alias("char_end")))
-    return df.select("doc_id", "char_start", S.overlap_length(F.col("char_start"), end, F.lit(150), F.lit(250)).alias("overlap"), S.overlaps_any(spans, F.col("char_start"), end).alias("overlaps"))
+    """Blocks of a hundred characters against two ranges of each document."""
+    low = (F.col("doc_id") % 400).cast("int")
+    df = table(spark, sf_dir, "documents").select("doc_id", low.alias("a"), F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(100))).alias("char_start")).where("char_start < n")
+    end, a = F.least(F.col("char_start") + 100, F.col("n")), F.col("a")
+    spans = F.array(F.struct(a.alias("char_start"), (a + 90).alias("char_end")), F.struct((3 * a).alias("char_start"), (3 * a + 5).alias("char_end")))
+    return df.select("doc_id", "char_start", S.overlap_length(F.col("char_start"), end, a, a + 90).alias("overlap"), S.overlaps_any(spans, F.col("char_start"), end).alias("overlaps"), S.inside_any(spans, F.col("char_start")).alias("inside"))
