@@ -1,7 +1,7 @@
 """Principal components of vectors: one distributed pass for the moments, a small eigenproblem on the driver.
 
-The moments of d-dimensional vectors are d (d + 3) / 2 sums, whatever the number of vectors; the driver gets one row for
-each task and solves a d x d problem.
+The moments of d-dimensional vectors are d (d + 3) / 2 sums, whatever the number of vectors. Tasks' sums are merged in a
+tree of FAN branches, so the driver gets FAN rows at most, whatever the number of tasks, and solves a d x d problem.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docengine.functions.arrays import normalised
 
 DIMS = (8, 16, 32, 48, 64)
+FAN = 16
 
 
 @dataclass
@@ -75,18 +76,39 @@ def moments(vectors: DataFrame, column: str = "embedding") -> tuple[int, np.ndar
             else:
                 n, mean, scatter = _merged((n, mean, scatter), (len(x), m, s))
         if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.reshape(-1).tolist()]})
-
-    parts = [(r.n, np.array(r["mean"]), np.array(r.scatter)) for r in vectors.select(column).where(F.col(column).isNotNull()).mapInPandas(run, "n long, mean array<double>, scatter array<double>").collect()]
-    if not parts:
+            yield _row(0, n, mean, scatter)
+
+    kind = "part long, n long, mean binary, scatter binary"
+    tasks = vectors._jdf.rdd().getNumPartitions()
+    parts = vectors.select(column).where(F.col(column).isNotNull()).mapInPandas(run, kind).withColumn("part", F.spark_partition_id().cast("long"))
+
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for row in group.itertuples():
+            total = _part(row) if total is None else _merged(total, _part(row))
+        return _row(int(group["part"].iloc[0]), *total)
+
+    while tasks > FAN:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(together, kind)
+        tasks = -(-tasks // FAN)
+    rows = sorted(parts.collect(), key=lambda r: (r.part, bytes(r["mean"])))  # FAN rows at most
+    if not rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    parts = [(n, m, s.reshape(len(m), -1)) for n, m, s in parts]
-    total = parts[0]
-    for part in parts[1:]:
-        total = _merged(total, part)
+    total = _part(rows[0])
+    for row in rows[1:]:
+        total = _merged(total, _part(row))
     return total
 
 
+def _row(part: int, n: int, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"part": [part], "n": [n], "mean": [mean.tobytes()], "scatter": [scatter.tobytes()]})
+
+
+def _part(row) -> tuple[int, np.ndarray, np.ndarray]:
+    mean = np.frombuffer(row.mean)
+    return int(row.n), mean, np.frombuffer(row.scatter).reshape(len(mean), -1)
+
+
 def _merged(a, b):
     n = a[0] + b[0]
     d = b[1] - a[1]

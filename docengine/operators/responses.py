@@ -39,6 +39,23 @@ def strings(response: Column, field: str) -> Column:
     return F.when(F.startswith(body, F.lit("[")) & listed.isNotNull(), listed).when(F.startswith(body, F.lit("{")) & within.isNotNull(), within).when(body.isNotNull(), F.array(body))
 
 
+REPAIR = "\n\nThe answer below is not valid JSON. Give the same answer as valid JSON only.\n\n"
+
+
+def json_answered(prompts: DataFrame, responses: DataFrame | None, prompt: str = "prompt", into: str = "json", rounds: int = 1, **settings) -> DataFrame:
+    """prompts with `into`, the response as JSON text, and `error`. A response that is not JSON is asked for again with the
+    prompt and the bad answer, up to `rounds` times; what is still no JSON, or absent, gives null and an error."""
+    df = prompts.withColumn("__ask", F.col(prompt)).withColumns({into: F.lit(None).cast("string"), "__said": F.lit(None).cast("string")})
+    for _ in range(rounds + 1):
+        df = answered(df, responses, "__ask", "__new", **settings)
+        body = json_text(F.col("__new"))
+        good = F.try_parse_json(body).isNotNull()
+        said = F.coalesce("__new", "__said")
+        df = df.withColumns({into: F.coalesce(into, F.when(good, body)), "__said": said, "__ask": F.concat(F.col(prompt), F.lit(REPAIR), F.coalesce(said, F.lit("")))}).drop("__new")
+    error = F.when(F.col(into).isNull(), F.when(F.col("__said").isNull(), "no response").otherwise("not valid JSON"))
+    return df.withColumn("error", error).drop("__ask", "__said")
+
+
 def cumulative(tokens: DataFrame) -> DataFrame:
     """A stream of tokens (query_id, token_no, token) as the text so far at each token."""
     from pyspark.sql import Window as W

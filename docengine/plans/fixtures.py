@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,9 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector as a query."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes and reads: in spark.checkpoint.dir, else in the warehouse; both are shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.functions.text import stripped
 from docengine.schema import SECTION, TABLE, struct_of
-from docengine.sources.sections import HEADING_NUMBER, PATTERNS
+from docengine.sources.sections import HEADING_NUMBER, PATTERNS, detect_sections
 
 # Elements that are dropped whole, that break lines, and that are headings.
 DROPPED = {"script", "style", "noscript", "head", "meta", "link"}
@@ -169,36 +170,66 @@ def parse(html: str, tables: bool, comments: bool = True) -> tuple[str, list[dic
     return full, sections, found_tables
 
 
-def parse_pages(pages: DataFrame, html: str = "html", *, tables: bool, comments: bool = True) -> DataFrame:
-    """The columns of `pages` but the markup, and full_text, sections, tables. Null markup gives an empty text."""
-    kept = [c for c in pages.columns if c not in (html, "full_text", "sections", "tables")]
+def parse_pages(pages: DataFrame, html: str = "html", *, tables: bool, comments: bool = True, errors: str | None = None) -> DataFrame:
+    """The columns of `pages` but the markup, and full_text, sections, tables. Null markup gives an empty text.
+
+    With `errors`, a page that can't be parsed gives an empty text and its error in that column, which is null elsewhere;
+    without, it fails the job.
+    """
+    added = {"full_text", "sections", "tables"} | ({errors} if errors else set())
+    kept = [c for c in pages.columns if c != html and c not in added]
     schema = pages.select(kept).schema
-    for field in struct_of(f"full_text string, sections array<{SECTION}>, tables array<{TABLE}>"):
+    for field in struct_of(f"full_text string, sections array<{SECTION}>, tables array<{TABLE}>" + (f", {errors} string" if errors else "")):
         schema = schema.add(field)
 
+    def one(markup) -> tuple:
+        try:
+            return *parse(markup, tables, comments), None
+        except Exception as e:  # a page that can't be parsed is a result
+            if errors is None:
+                raise
+            return "", [], [], f"{type(e).__name__}: {e}"[:200]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [parse(x, tables, comments) for x in batch[html]]
-            yield batch[kept].assign(full_text=[p[0] for p in parsed], sections=[p[1] for p in parsed], tables=[p[2] for p in parsed])
+            parsed = [one(x) for x in batch[html]]
+            out = batch[kept].assign(full_text=[p[0] for p in parsed], sections=[p[1] for p in parsed], tables=[p[2] for p in parsed])
+            yield out.assign(**{errors: [p[3] for p in parsed]}) if errors else out
 
     return pages.select(*kept, html).mapInPandas(run, schema)
 
 
-def kind_of(path) -> "F.Column":
-    """pdf or html by a path's extension; anything else is an error."""
+def kind_of(path, strict: bool = True) -> "F.Column":
+    """pdf or html by a path's extension; anything else is an error, or null if not strict."""
     extension = F.lower(F.substring_index(path, ".", -1))
-    return F.when(extension == "pdf", "pdf").when(extension.isin("html", "htm", "xhtml"), "html").otherwise(F.raise_error(F.concat(F.lit("unsupported file extension: "), path)))
+    known = F.when(extension == "pdf", "pdf").when(extension.isin("html", "htm", "xhtml"), "html")
+    return known.otherwise(F.raise_error(F.concat(F.lit("unsupported file extension: "), path))) if strict else known
 
 
-def parse_documents(pages: DataFrame, module: str) -> DataFrame:
-    """Parsed documents of HTML rows (doc_id, metadata map<string,string>, html); tables are kept for `credit` only.
+def parse_documents(files: DataFrame, module: str) -> DataFrame:
+    """Parsed documents of files (doc_id, metadata map<string,string>, html[, path, page_texts]) with `error`; tables are kept
+    for `credit` only.
 
-    doc_id and titles fall back to the row's own id, the type to `unknown`.
+    Files go by the extension of `path` (html without a path): html is parsed, a pdf's page_texts
+    (array<struct<page_number, text>>) are put together and searched for section headings; others, pdfs without texts and
+    pages that can't be parsed have an error and an empty text. doc_id and titles fall back to the row's own id, the type
+    to `unknown`.
     """
-    parsed = parse_pages(pages.select("doc_id", "metadata", "html"), tables=module == "credit")
+    texts = "array<struct<page_number:int,text:string>>"
+    rows = files.select(
+        "doc_id", "metadata", "html", (kind_of(F.col("path"), strict=False) if "path" in files.columns else F.lit("html")).alias("__kind"),
+        (F.col("page_texts") if "page_texts" in files.columns else F.lit(None)).cast(texts).alias("__texts"),
+    )
+    parsed = parse_pages(rows.withColumn("html", F.when(F.col("__kind") == "html", F.col("html"))), tables=module == "credit", errors="error")
     of = lambda k, default: F.coalesce(F.try_element_at("metadata", F.lit(k)), default)
-    own = F.col("doc_id").cast("string")
+    own, paged = F.col("doc_id").cast("string"), F.col("__kind") == "pdf"
+    blocks = F.filter(F.transform(F.array_sort("__texts"), lambda x: F.struct(x["page_number"].alias("page_number"), F.concat(stripped(F.coalesce(x["text"], F.lit(""))), F.lit("\n\n")).alias("block"))), lambda x: x["block"] != "\n\n")
+    parsed = parsed.withColumn("__blocks", F.coalesce(blocks, F.array().cast("array<struct<page_number:int,block:string>>")))
+    ends = lambda i: F.aggregate(F.slice("__blocks", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["block"]))
+    pages = F.transform("__blocks", lambda x, i: F.struct(x["page_number"].alias("page_number"), ends(i).alias("char_start"), ends(i + 1).alias("char_end")))
+    parsed = parsed.withColumn("full_text", F.when(paged, F.array_join(F.transform("__blocks", lambda x: x["block"]), "")).otherwise(F.col("full_text")))
+    failed = F.when(F.col("__kind").isNull(), "unsupported file extension").when(paged & F.col("__texts").isNull(), "no page texts").otherwise(F.col("error"))
     return parsed.select(
         of("doc_id", own).alias("doc_id"), of("doc_title", own).alias("doc_title"), of("doc_type", F.lit("unknown")).alias("doc_type"), F.lit(module).alias("module"), "metadata",
-        "full_text", F.array().cast("array<struct<page_number:int,char_start:int,char_end:int>>").alias("pages"), "sections", "tables", F.length("full_text").alias("n_chars"),
+        "full_text", pages.alias("pages"), F.when(paged, detect_sections(F.col("full_text"))).otherwise(F.col("sections")).alias("sections"), "tables", F.length("full_text").alias("n_chars"), failed.alias("error"),
     )

@@ -47,16 +47,32 @@ def merged(present: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return present.join(latest.select(key), key, "left_anti").select(present.columns).unionByName(latest.select(present.columns))
 
 
+def _fs(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish an upsert that broke off between its two renames: the whole new table takes the place of the one set aside."""
+    fs, at = _fs(spark, path)
+    beside, aside = path.rstrip("/") + ".next", path.rstrip("/") + ".old"
+    if not exists(spark, path) and exists(spark, aside):
+        fs.rename(at(beside if exists(spark, beside + "/_SUCCESS") else aside), at(path))
+    fs.delete(at(aside), True)
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "chunk_id") -> None:
-    """Write merged rows beside the table, then in its place, so that a failed job leaves the table as it was."""
+    """Write merged rows beside the table, set the old one aside, and put the new one in its place. A job that fails leaves
+    the table as it was; one that breaks off between the renames is finished by the next call (`recover`)."""
+    recover(spark, path)
     if not exists(spark, path):
-        new.dropDuplicates([key]).write.parquet(path)
+        merged(new.where("false"), new, key).write.parquet(path)
         return
-    beside = path.rstrip("/") + ".next"
+    beside, aside = path.rstrip("/") + ".next", path.rstrip("/") + ".old"
     merged(spark.read.parquet(path), new, key).write.mode("overwrite").parquet(beside)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), spark._jvm.org.apache.hadoop.fs.Path(path))
+    fs, at = _fs(spark, path)
+    fs.rename(at(path), at(aside))
+    fs.rename(at(beside), at(path))
+    fs.delete(at(aside), True)
 
 
 def load(spark: SparkSession, path: str, chunks: DataFrame, key: str = "chunk_id", force: bool = False) -> str:
@@ -95,9 +111,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
 
 
-def json_array(df: DataFrame, order: str) -> DataFrame:
-    """All rows as one JSON array text, for small result files: passages, question pairs."""
-    return df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct("*").alias("r")))), lambda x: x["r"])).alias("json"))
+def json_array(df: DataFrame, order: str, most: int = 100_000) -> DataFrame:
+    """All rows as one JSON array text, for small result files: passages, question pairs. More than `most` are an error."""
+    some = df.limit(most + 1)
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct("*").alias("r"))))
+    text = F.to_json(F.transform(rows, lambda x: x["r"]))
+    return some.agg(F.when(F.count("*") <= most, text).otherwise(F.raise_error(F.lit(f"a JSON array of more than {most} rows"))).alias("json"))
 
 
 def new_documents(parsed: DataFrame, present: DataFrame) -> DataFrame:
