@@ -24,21 +24,22 @@ def _said(queries: DataFrame, task: str, response) -> DataFrame:
     return some.select(responses.key_of(transform.prompt(task, F.col("query"), "compliance")).alias("key"), response.alias("response"))
 
 
-PASSAGE = F.concat(F.lit("a passage about "), F.col("query_id").cast("string"))
+def _passage():
+    return F.concat(F.lit("a passage about "), F.col("query_id").cast("string"))
 
 
 @query("SELECT item_id AS query_id, 0 AS variant_no, CASE WHEN item_id % 2 = 0 THEN 'a passage about ' || item_id ELSE text END AS query FROM benchmark")
 def hyde_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1: hypothetical passages, the query itself where the model has no answer."""
     q = benchmark_queries(spark, sf_dir)
-    return transform.hyde(q, "compliance", _said(q, "hyde", PASSAGE))
+    return transform.hyde(q, "compliance", _said(q, "hyde", _passage()))
 
 
 @query("SELECT item_id AS query_id, 0 AS variant_no, text AS query FROM benchmark UNION ALL SELECT item_id, 1, 'a passage about ' || item_id FROM benchmark WHERE item_id % 2 = 0")
 def step_back_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4: the query and a more general one."""
     q = benchmark_queries(spark, sf_dir)
-    return transform.step_back(q, "compliance", _said(q, "step_back", F.concat(F.lit(" \n"), PASSAGE, F.lit(" "))))
+    return transform.step_back(q, "compliance", _said(q, "step_back", F.concat(F.lit(" \n"), _passage(), F.lit(" "))))
 
 
 @query("""WITH n(name) AS (VALUES ('none'), ('hyde'), ('multi_query'), ('step_back')), v AS (SELECT name, item_id, item_id % 2 = 0 AS said, text FROM benchmark, n)
@@ -177,7 +178,7 @@ def answer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select("conv_id", "pair", F.round(f1, 6).alias("f1"), F.round(metrics.concept_coverage(F.slice(r, 1, 3), F.col("a")), 6).alias("concepts"))
 
 
-RESULTS = "SELECT s_suppkey::INT AS config_no, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal / 1000) / 10.0 END AS ndcg FROM supplier"
+RESULTS = "SELECT s_suppkey::INT AS config_no, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal / 1000) / 10.0 + 0.0::DOUBLE END AS ndcg FROM supplier"
 
 
 @query(f"SELECT config_no, ndcg::DOUBLE AS ndcg, (row_number() OVER (ORDER BY coalesce(ndcg, 0) DESC, config_no))::INT AS place FROM ({RESULTS})")

@@ -16,6 +16,13 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_modules_need_no_session_to_be_imported():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > len(e.oracle_sql()) > 60"], check=True, timeout=120)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 

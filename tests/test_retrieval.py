@@ -195,3 +195,134 @@ def test_ablation_and_loads(spark, tmp_path):
     assert rows[0].ndcg == 1.0 and rows[1].ndcg is None and "nope" in rows[1].error
     done = stores.load_all(spark, f"file://{tmp_path}", chunks)
     assert done["compliance_semantic"] == "loaded" and len(done) == 6
+
+
+def test_cells_find_most_of_the_exact_neighbours(spark):
+    from docengine.operators import cells
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    copies = e.where("chunk_id < 3").crossJoin(spark.range(300)).select((F.col("chunk_id") + 10**6 + 3 * F.col("id")).alias("chunk_id"), "embedding")  # a cell of copies
+    chunks = e.unionAll(copies)
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    c = cells.centroids(chunks)
+    index, exact = cells.index(chunks, c), retrieve.dense(q, chunks, 10)
+    assert index.count() == chunks.count()
+    assert cells.recall(cells.search(q, index, c, 10), exact) >= 0.9
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(cells.search(q, index, c, 10, probes=len(c))) == rows(exact)
+    assert cells.search(q, index.where("false"), c, 10).count() == 0 and len(cells.centroids(chunks.where("false"))) == 0
+
+
+def test_hashing_embedder_equals_a_plain_loop():
+    import hashlib
+    import re
+
+    texts = ["Alpha beta alpha", "", None, "éß 12 _x", "beta"]
+    want = np.zeros((len(texts), 64))
+    for row, t in zip(want, texts):
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            row[int.from_bytes(h[:4], "little") % 64] += 1 if h[4] & 1 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert np.allclose(encode.hashing_embedder(texts), want, atol=1e-6)
+    assert encode.hashing_embedder([]).shape == (0, 64)
+
+
+def test_moments_merge_in_a_tree(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(90, 3)) + 4
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "embedding array<double>").repartition(9)
+    monkeypatch.setattr(pca, "FAN", 2)
+    n, mean, scatter = pca.moments(df)
+    assert n == 90 and np.allclose(mean, x.mean(0)) and np.allclose(scatter / 89, np.cov(x.T))
+    assert pca.moments(df.where("false"))[0] == 0
+
+
+def test_upserts_that_broke_off_are_finished(spark, tmp_path):
+    path = f"file://{tmp_path}/points"
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, v int")
+    stores.upsert(spark, path, rows(("a", 1), ("a", 2)))
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)]  # the last by columns, on the first load too
+    stores.merged(spark.read.parquet(path), rows(("b", 3)), "chunk_id").write.parquet(path + ".next")
+    (tmp_path / "points").rename(tmp_path / "points.old")  # broken off between the renames
+    stores.upsert(spark, path, rows(("c", 4)))
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 3), ("c", 4)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["points"]
+    with pytest.raises(Exception, match="more than 1 rows"):
+        stores.json_array(rows(("a", 1), ("b", 2)), "chunk_id", most=1).collect()
+
+
+@pytest.mark.parametrize("name", ["none", "cross_encoder", "monot5", "colbert", "rankgpt"])
+def test_every_reranker_in_the_lifecycle(spark, name):
+    chunks = encode.embed(spark.createDataFrame([("a", "d1", "alpha beta"), ("b", "d2", "alpha gamma delta alpha"), ("c", "d3", "alpha")], "chunk_id string, doc_id string, content string"), "content")
+    q = spark.createDataFrame([("1", "alpha gamma"), ("2", " ")], "query_id string, query string")
+    found = retrieve.sparse(q, chunks, 10).join(chunks, "chunk_id").join(q, "query_id")
+    said = rerank.listwise_prompt(found.withColumn("content", F.col("content"))).select(responses.key_of(F.col("prompt")).alias("key"), F.lit("[3, 1]").alias("response"))
+    got = lifecycle.run(q, chunks, lifecycle.Config(reranker=name, final_k=3), said).collect()
+    assert [r.query_id for r in got] == ["1"]
+    order = [c.chunk_id for c in got[0].top]
+    assert sorted(order) == ["a", "b", "c"] and (order[0] == "b" or name == "rankgpt")
+    if name == "rankgpt":
+        plain = [r.chunk_id for r in found.orderBy("rank").collect()]
+        assert order == [plain[2], plain[0], plain[1]]
+
+
+def test_stage_times_and_their_line(spark):
+    chunks = encode.embed(spark.createDataFrame([("a", "d1", "alpha beta")], "chunk_id string, doc_id string, content string"), "content")
+    rows, took = lifecycle.timed(spark.createDataFrame([("1", "alpha")], "query_id string, query string"), chunks, lifecycle.Config())
+    assert len(rows) == 1 and set(took) == {"retrieve", "transform", "rerank", "generate", "total"} and took["total"] > 0
+    results = lifecycle.run(spark.createDataFrame([("1", "alpha")], "query_id string, query string"), chunks, lifecycle.Config())
+    assert lifecycle.log_rows(results, lifecycle.Config(), took).first().timings["total"] == took["total"]
+
+
+def test_lost_turns_and_other_roles(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 1, "user", "a"), (1, 2, "system", "x"), (1, 3, "assistant", "c"), (2, 0, "system", "y"), (3, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.history for r in transform.history_text(turns).collect()}
+    assert got == {1: "USER: b\nUSER: a\nASSISTANT: c", 2: "(none)", 3: "(none)"}
+
+
+def test_blank_dense_queries_find_nothing(spark):
+    q = spark.createDataFrame([("1", " ", [1.0, 0.0]), ("2", "x", [1.0, 0.0])], "query_id string, query string, embedding array<double>")
+    c = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, embedding array<double>")
+    assert [r.query_id for r in retrieve.dense(q, c, 5).collect()] == ["2"]
+
+
+def test_candidates_equal_a_plain_loop(spark):
+    """Windows, one by one."""
+    import random
+    import re
+
+    import regex
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(("alpha", "beta", "the", "of", "gamma", "1,000", "see"))
+    tail = lambda: rng.choice(("", "", " as discussed above", "; (x)"))
+    texts = [" ".join(f"{rng.choice(('The', 'A', 'so', 'Item'))} " + " ".join(word() for _ in range(rng.randint(3, 60))) + tail() + rng.choice((".", "!", "?")) for _ in range(rng.randint(2, 70))) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "t", t, None, None) for i, t in enumerate(texts)], "doc_id long, doc_type string, full_text string, sections array<struct<heading:string,section_number:string,char_start:int,char_end:int>>, pages array<struct<page_number:int,char_start:int,char_end:int>>")
+    tokens = lambda t: len(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", t))
+
+    def contained(t):
+        t = t.strip()
+        opens = t[:1].isupper() or t[:1] in passages.OPENING
+        return len(t) >= 50 and opens and not re.search(passages.BOILERPLATE, t) and not re.search(passages.ELSEWHERE, t) and sum(c.isalpha() for c in t) / len(t) >= 0.5
+
+    want = set()
+    for d, t in enumerate(texts):
+        cuts = [0, *(x for m in re.finditer(r"(?<=[.!?])\s+(?=[A-Z\"'(])", t) for x in m.span()), len(t)]
+        s = list(zip(cuts[::2], cuts[1::2]))
+        n = [tokens(t[a:b]) for a, b in s]
+        last, following = -(10**9), 0
+        if len(s) < 4:
+            continue
+        for i in range(len(s)):
+            if i < following or i - last < passages.APART:
+                continue
+            j, total = i, 0
+            while j < len(s) and total < passages.TARGET:
+                total += n[j]
+                j += 1
+            a, b = s[i][0], s[j - 1][1]
+            if passages.LEAST <= total <= passages.MOST and contained(t[a:b]):
+                want.add((d, i, a, b, total))
+                last, following = i, j
+    got = {(r.doc_id, r.first_sentence, r.char_start, r.char_end, r.n_tokens) for r in passages.candidates(docs).collect()}
+    assert got == want and len(want) > 5
