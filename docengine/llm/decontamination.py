@@ -9,8 +9,8 @@ Fingerprints propose: windows get SimHash fingerprints of BITS bits over their w
 items' fingerprints gives every item within RADIUS of a window. Its BLOCKS blocks have BLOCK_BITS bits; of fingerprints
 within RADIUS, one block at least differs in ITEM_FLIPS + WINDOW_FLIPS bits or less (RADIUS < BLOCKS * (flips + 1)), so
 items are entered under all values within ITEM_FLIPS bits of theirs, and windows look up all values within WINDOW_FLIPS.
-The proposed pairs are verified exactly. A window whose known runs (those of any item) weigh less than SIMILARITY of its own
-weight, or of the lightest item of its size, is similar to no item; it gets no fingerprint, which loses nothing. The radius
+The proposed pairs are verified exactly. A window whose runs of items of its size (any of them) weigh less than SIMILARITY of
+its own weight, or of the lightest such item, is similar to no item; it gets no fingerprint, which loses nothing. The radius
 is the method's own limit: two texts of similarity 0.8 differ in some 19 of 128 bits, with a deviation of 4.
 
 All sums over windows come from running sums over a text, so the work grows with the text's and not with the windows'
@@ -96,13 +96,16 @@ class Items:
         return replace(self, known=None)
 
     def build(self, known: Weights | None = None) -> "Items":
-        """Lookup structures: the set of all runs, the least weight of each size, and the multi-index."""
+        """Lookup structures: the set of all runs, with the sizes of their items, the least weight of each size, and the multi-index."""
         self.known = known or self.known
-        distinct = np.unique(self.runs)
-        self.table = KeyTable(distinct, np.zeros(len(distinct), np.int32), -1)
         order = np.lexsort((self.totals, self.sizes))
         self.lengths, at = np.unique(self.sizes[order], return_index=True)
         self.least = self.totals[order][at]
+        distinct, inverse = np.unique(self.runs, return_inverse=True)
+        self.table = KeyTable(distinct, np.arange(len(distinct)), len(distinct))
+        bit = np.uint64(1) << (np.searchsorted(self.lengths, self.sizes) % 64).astype(np.uint64)
+        self.marks = np.zeros(len(distinct) + 1, np.uint64)  # of which sizes are the items that have a run; 64 bits, shared by more sizes
+        np.bitwise_or.at(self.marks, inverse, np.repeat(bit, np.diff(self.first)))
         keys = block_keys(self.prints, ITEM_FLIPS).reshape(-1)
         by_key = np.argsort(keys, kind="stable")
         self.entries = (by_key // max(1, BLOCKS * len(flips(ITEM_FLIPS)))).astype(np.int32)
@@ -146,7 +149,7 @@ def window_sums(values: np.ndarray, previous: np.ndarray, width: int, starts: np
     some = np.arange(n) - begin >= 0
     change = np.zeros((*values.shape[:-1], n + 1), values.dtype)
     if values.ndim == 1:
-        np.add.at(change, begin[some], values[some])
+        change[: n + 1] = np.bincount(begin[some], values[some], minlength=n + 1)
         change[1:] -= np.where(some, values, 0)
     else:
         order = np.argsort(begin[some], kind="stable")
@@ -230,13 +233,12 @@ def load_items(rows: list[tuple], known: Weights | None = None) -> Items:
 
 
 def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(class, first word, words, similarity) of the best window of each class that a text leaks; known: is a run any
-    item's."""
-    places = np.flatnonzero(known)
+    """(class, first word, words, similarity) of the best window of each class that a text leaks; known: each run's marks,
+    0 for runs of no item."""
+    every = np.flatnonzero(known)
     weights, previous = items.known.of(hashes), previous_places(hashes)
-    hit = np.where(known, weights, 0.0)
     limit, best = SIMILARITY - 1e-9, {}
-    most = hit[previous < 0].sum()  # no window's known runs weigh more
+    most = weights[every][previous[every] < 0].sum()  # no window's known runs weigh more
 
     def compare(width: int, low: int, starts: np.ndarray, lowest: int, highest: int) -> None:
         """Windows of `width` runs at `starts`, within the stretch that begins at `low`, against classes of these sizes."""
@@ -259,17 +261,22 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
                 value = (round(float(similarity[top]), 9), -int(starts[some[top]]))
                 best[c] = max(best.get(c, value), value)
 
-    for size, least in zip(items.lengths.tolist(), items.least.tolist()):
+    for k, (size, least) in enumerate(zip(items.lengths.tolist(), items.least.tolist())):
         if most < limit * least or size > n_words or size < SHINGLE and size != n_words:
             continue
         width = max(1, size - SHINGLE + 1)  # runs of a window
-        # Only windows that hold a known run: those from just before the first one to the last.
+        # Only windows that hold a run of an item of this size: those from just before the first one to the last.
+        places = every[(known[every] >> np.uint64(k % 64)) & np.uint64(1) > 0]
+        if weights[places].sum() < limit * least:
+            continue
         low, high = max(0, int(places[0]) - width + 1), min(len(hashes), int(places[-1]) + width)
         if high - low < width:
             continue
+        hit = np.zeros(high - low)
+        hit[places - low] = weights[places]
         starts = np.arange(high - low - width + 1)
         before = previous[low:high] - low
-        met, own = window_sums(hit[low:high], before, width, starts), window_sums(weights[low:high], before, width, starts)
+        met, own = window_sums(hit, before, width, starts), window_sums(weights[low:high], before, width, starts)
         starts = starts[(met >= limit * least) & (met >= limit * own)] + low
         for group in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1) if len(starts) else ():
             compare(width, int(group[0]), group, size, size)
@@ -281,7 +288,7 @@ def text_leaks(items: Items, hashes: np.ndarray, n_words: int, known: np.ndarray
 def _block_leaks(items: Items, block) -> dict[int, list[tuple[int, int, int, float]]]:
     """Leaks of the texts of a block, by row."""
     hashes, before, words = runs_of(block.data, block.starts)
-    known = items.table.get(hashes) >= 0
+    known = items.marks[items.table.get(hashes)]
     some = np.unique(np.searchsorted(before, np.flatnonzero(known), "right") - 1)
     out = {}
     for row in some.tolist():
