@@ -11,8 +11,9 @@ Classes in one bucket are tied to its smallest one. What is tied together, over
 link lies within a cluster. Only then are the sets of clustered classes computed again. First each class is compared with
 one class that it is tied to, a star of any size being dealt out over many tasks; this joins a group of close copies in
 linear time, and a cluster that it joins whole is done. The sets of other clusters are cut into pieces of about PIECE runs
-and MEMBERS classes; each pair of pieces is joined exactly by a prefix-filtered set-similarity join over full sets, which
-passes over what is connected already and returns a spanning forest of the links that it finds. So no pairs of a group are
+and MEMBERS classes, those of the largest connected part apart from the others; each pair of pieces, but for two of that
+part, is joined exactly by a prefix-filtered set-similarity join over full sets, which passes over what is connected already
+and returns a spanning forest of the links that it finds. So no pairs of a group are
 emitted, no group need fit into one task, and no link between different texts is lost. Components of the links follow.
 
 Null and empty texts, and texts without words, have empty sets, which are linked with nothing. A null id can't be linked:
@@ -235,11 +236,17 @@ def _components_of(docs: DataFrame, percent: int, text: str) -> DataFrame:
     near = staged(rays.unionAll(pivots).repartition("pivot", "lot").groupBy("pivot", "lot").applyInArrow(verify, link_schema))
     joined = components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     labelled = sets.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    # Clusters that the stars have not joined whole, and how many pieces each is cut into.
-    size = F.greatest(F.ceil(F.sum(F.length("runs")) / (8 * PIECE)), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("pieces")
-    left = labelled.groupBy("cluster").agg(size, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster", "pieces")
-    cut = labelled.join(left, "cluster").withColumn("side", F.pmod(F.hash("doc_id", F.lit("piece")), F.col("pieces")))
-    paired = cut.select("cluster", "doc_id", "runs", "side", "label", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    # Clusters that the stars have not joined whole. What has a cluster's commonest label is connected, so its `inner` pieces
+    # meet only the `outer` ones of all other labels, never each other.
+    need = lambda n, size: F.greatest(F.ceil(size / (8 * PIECE)), F.ceil(n / MEMBERS)).cast("int")
+    per = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum(F.length("runs")).alias("size"))
+    left = per.groupBy("cluster").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    split = need(F.col("n"), F.col("size")) > 1
+    left = left.select("cluster", F.col("top.label").alias("main"), F.when(split, need(F.col("top.n"), F.col("top.size"))).otherwise(0).alias("inner"), F.when(split, need(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))).otherwise(1).alias("outer"))
+    place, is_main = F.hash("doc_id", F.lit("piece")), (F.col("inner") > 0) & (F.col("label") == F.col("main"))
+    cut = labelled.join(left, "cluster").withColumn("side", F.when(is_main, F.pmod(place, F.greatest("inner", F.lit(1)))).otherwise(F.col("inner") + F.pmod(place, F.col("outer"))))
+    others = F.sequence(F.when(is_main, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)
+    paired = cut.select("cluster", "doc_id", "runs", "side", "label", F.explode(others).alias("other"))
     paired = paired.withColumns({"piece": F.least("side", "other"), "with": F.greatest("side", "other")})
     links = near.unionAll(paired.repartition("cluster", "piece", "with").groupBy("cluster", "piece", "with").applyInArrow(verify, link_schema))
     # An id with texts of several classes links these.
