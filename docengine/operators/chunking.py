@@ -9,16 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docengine.functions.arrays import let
 from docengine.functions.spans import containing, overlaps_any
 from docengine.functions.text import chunk_id, count_tokens, counted, paragraph_spans, sentence_spans, stripped
 from docengine.schema import metadata_columns
 
+EMBEDDED = 4096
 PACKED = "array<struct<content:string,char_start:int,char_end:int,content_tokens:int>>"
 PIECE = (
     "array<struct<content:string,content_tokens:int,char_start:int,char_end:int,section_title:string,section_number:string,hierarchy_path:string,"
@@ -255,25 +257,36 @@ def semantic_segments(spans: list[tuple[str, int, int]], text: str, tokens: Call
 def semantic(docs: DataFrame, module: str, embed: Callable[[list[str]], np.ndarray], tokens: Callable[[str], int] | None = None) -> DataFrame:
     """docs with `pieces`: segments where neighbouring sentences' vectors differ. `embed`: texts -> one row each.
 
-    Sentences are split by the JVM; only sentences, tables and the text go to Python. For `credit`, no boundary falls into
-    a table and pieces tell whether they overlap one.
+    Sentences are split by the JVM. Python reads sentences, tables and the text, and lets other columns pass as Arrow has them;
+    documents are embedded together, up to EMBEDDED sentences in a call (one document's own always). For `credit`, no
+    boundary falls into a table and pieces tell whether they overlap one.
     """
     threshold, least, most = SEMANTIC[module]
     count = tokens or default_tokens
+
     columns = docs.columns
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("__parts", T._parse_datatype_string(PACKED))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in schema["__parts"].dataType.elementType]
+
+    def segments(batch: pa.RecordBatch) -> list[list[dict]]:
+        found = [[(s["text"], s["char_start"], s["char_end"]) for s in ss or []] for ss in batch.column("__sentences").to_pylist()]
+        held = [[(t["char_start"], t["char_end"]) for t in ts or []] for ts in batch.column("tables").to_pylist()] if module == "credit" else [[]] * len(found)
+        texts, ends, out, lo = batch.column("full_text"), np.cumsum([0, *map(len, found)]), [], 0
+        while lo < len(found):  # documents whose sentences are embedded together
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + EMBEDDED, "right")) - 1)
+            vectors = embed([s[0] for ss in found[lo:hi] for s in ss]) if ends[hi] > ends[lo] else np.zeros((0, 1))
+            for i in range(lo, hi):
+                own = vectors[ends[i] - ends[lo] : ends[i + 1] - ends[lo]]
+                out.append([dict(zip(names, p)) for p in semantic_segments(found[i], texts[i].as_py() or "", count, own, threshold, least, most, held[i])])
+            lo = hi
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans, tables in zip(batch["full_text"], batch["__sentences"], batch["tables"]):
-                spans = [(s["text"], s["char_start"], s["char_end"]) for s in spans] if spans is not None else []
-                forbidden = [(t["char_start"], t["char_end"]) for t in tables] if module == "credit" and tables is not None else []
-                vectors = embed([s[0] for s in spans]) if spans else np.zeros((0, 1))
-                out.append([dict(zip(("content", "char_start", "char_end", "content_tokens"), p)) for p in semantic_segments(spans, text or "", count, vectors, threshold, least, most, forbidden)])
-            yield batch[columns].assign(__parts=out)
-
-    parts = docs.withColumn("__sentences", sentence_spans(F.coalesce("full_text", F.lit("")))).mapInPandas(run, schema)
+            made = pa.array(segments(batch), to_arrow_type(schema["__parts"].dataType))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], schema.names)
+
+    parts = docs.withColumn("__sentences", sentence_spans(F.coalesce("full_text", F.lit("")))).mapInArrow(run, schema)
 
     def described(p: Column) -> Column:
         if module == "compliance":

@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pytest
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -173,8 +175,6 @@ def test_financial_and_narrative(spark):
 
 
 def test_semantic_boundaries_and_tables():
-    import numpy as np
-
     spans = [(f"S{i} one two three.", 10 * i, 10 * i + 8) for i in range(12)]
     vectors = np.array([[1.0, 0.0]] * 6 + [[0.0, 1.0]] * 6)
     count = lambda t: len(t.split())
@@ -207,3 +207,21 @@ def test_pages_and_intervals(spark):
     assert [(r.doc_id, r.full_text, [tuple(p) for p in r.pages]) for r in row] == [("d", "one\n\nthree\n\n", [(1, 0, 5), (3, 5, 12)])]
     at = spark.createDataFrame([(4,), (5,), (12,)], "pos int").crossJoin(sections.page_texts(pages)).select("pos", S.page_at(F.col("pages"), F.col("pos")).alias("p")).collect()
     assert {r.pos: r.p for r in at} == {4: 1, 5: 3, 12: None}
+
+
+@pytest.mark.parametrize("module", ["compliance", "credit"])
+def test_semantic_rows_equal_documents_one_by_one(spark, module):
+    from docengine.operators.encode import hashing_embedder
+    from docengine.plans.fixtures import structured
+
+    docs = structured(spark, "/root/testdata/sf0.001").withColumn("full_text", F.when(F.col("doc_id") != "3", F.col("full_text")))
+    got = {}
+    for r in chunking.chunk_documents(docs, module, "semantic", hashing_embedder).select("doc_id", "chunk_index", "content", "char_start", "char_end", "content_tokens").collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    threshold, least, most = chunking.SEMANTIC[module]
+    for d in docs.select("doc_id", "full_text", "tables", X.sentence_spans(F.coalesce("full_text", F.lit(""))).alias("s")).collect():
+        spans = [(x.text, x.char_start, x.char_end) for x in d.s or []]
+        forbidden = [(t.char_start, t.char_end) for t in d.tables or []] if module == "credit" else []
+        vectors = np.stack([hashing_embedder([x[0]])[0] for x in spans]) if spans else np.zeros((0, 1))
+        want = chunking.semantic_segments(spans, d.full_text or "", chunking.default_tokens, vectors, threshold, least, most, forbidden)
+        assert [x[1:] for x in sorted(got.get(d.doc_id, []))] == want
