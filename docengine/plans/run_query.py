@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import encode, guardrails, rerank, retrieve, transform
 from docengine.operators.responses import answered
+from docengine.operators.scan import settled
 
 
 @dataclass
@@ -42,11 +43,11 @@ def run(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFr
     asked = q.select("query_id", F.col("rewritten").alias("query"))
     initial = None
     if config.transform == "prf":
-        initial = retrieve.search(encode.embed(asked, "query", embedder=embedder, prompt=encode.QUERY_PROMPT), chunks, "hybrid", transform.FEEDBACK)
-    variants = transform.apply(config.transform, asked, config.module, responses, initial, chunks)
+        initial = settled(retrieve.search(encode.embed(asked, "query", embedder=embedder, prompt=encode.QUERY_PROMPT), chunks, "hybrid", transform.FEEDBACK))
+    variants = settled(transform.apply(config.transform, asked, config.module, responses, initial, chunks if initial is None else retrieve.found_chunks(initial, chunks)))
     vectors = encode.embed(variants, "query", embedder=embedder, prompt=encode.QUERY_PROMPT)
     found = retrieve.fan_out(vectors, chunks, config.method, config.top_k, dim=config.dim)
-    candidates = found.join(chunks.drop("embedding"), "chunk_id").join(asked, "query_id")
+    candidates = found.join(retrieve.found_chunks(found, chunks.drop("embedding")), "chunk_id").join(asked, "query_id")
     said = None
     if config.reranker == "rankgpt" and responses is not None:
         said = answered(rerank.listwise_prompt(candidates), responses).where("response is not null").select("query_id", "response")
@@ -58,6 +59,7 @@ def run(queries: DataFrame, chunks: DataFrame, config: Config, responses: DataFr
         if c not in best.columns:
             best = best.withColumn(c, F.lit(0))
     fields = ("rank", "chunk_id", "score", "doc_id", "content", "section_title", "section_number", "char_start", "char_end", "effective_date", "filing_date")
+    best = settled(best.select("query_id", *fields))
     top = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("top"))  # final_k entries
     listed = variants.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("variant_no", "query"))).alias("v")).select("query_id", F.transform("v", lambda x: x["query"]).alias("transformed_queries"))
     blocks = transform.passage_blocks(best)
